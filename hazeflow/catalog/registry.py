@@ -26,7 +26,9 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from hazeflow.catalog import (  # noqa: F401
+        audit_queries,
         feature_queries,
+        scalar_queries,
     )
 
 

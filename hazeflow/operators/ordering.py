@@ -65,7 +65,8 @@ def own_rows(rows: DataFrame) -> DataFrame:
 
 def same_series(window, series: list[str], offset: int) -> Column:
     """True where the row `offset` positions away exists and belongs to the same series."""
-    there = F.lead(F.struct(*series), offset).over(window)
+    move = F.lead if offset >= 0 else F.lag
+    there = move(F.struct(*series), abs(offset)).over(window)
     return F.coalesce(there.eqNullSafe(F.struct(*series)), F.lit(False))
 
 
