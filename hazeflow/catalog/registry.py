@@ -28,7 +28,10 @@ def _load() -> None:
     from hazeflow.catalog import (  # noqa: F401
         audit_queries,
         feature_queries,
+        model_queries,
         scalar_queries,
+        source_queries,
+        training_queries,
     )
 
 

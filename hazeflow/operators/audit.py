@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hazeflow.functions import scalars as S
-from hazeflow.operators.ordering import quantiles
+from hazeflow.operators.ordering import quantiles, value_counts
 from hazeflow.schemas import float_columns, numeric_columns
 
 ATTENTION_PCT = 30.0
@@ -101,17 +101,23 @@ def summary_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, deviation and exact quartiles of every numeric column, two decimals."""
     columns = columns or numeric_columns(df.schema)
     shown = [c for c in SUMMARY_FIRST if c in columns] + [c for c in columns if c not in SUMMARY_FIRST]
-    value = F.col("value")
-    cells = long_form(df.select(*shown), shown).withColumn("value", S.nan_as_null(value))
-    basic = cells.groupBy("column_name").agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    cells = long_form(df.select(*shown), shown).withColumn("value", S.nan_as_null(F.col("value")))
+    counts = value_counts(cells, ["column_name"], "value")
+    v, n = F.col("value"), F.col("_copies")
+    basic = counts.groupBy("column_name").agg(
+        F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
     )
+    off = v - F.col("mean")
+    spread = (
+        counts.join(F.broadcast(basic.select("column_name", "mean")), "column_name")  # one row per column
+        .groupBy("column_name")
+        .agg(F.sqrt(F.try_divide(F.sum(n * off * off), F.sum(n) - 1)).alias("std"))
+    )
+    named = df.sparkSession.createDataFrame([(c,) for c in shown], "column_name string")
+    quartiles = quantiles(counts, ["column_name"], "value", QUARTILES)
+    both = named.join(basic, "column_name", "left").join(spread, "column_name", "left").join(quartiles, "column_name", "left")
+    both = both.withColumn("count", F.coalesce("count", F.lit(0)))
     place = F.array_position(F.array(*[F.lit(c) for c in shown]), F.col("column_name")).cast("int")
-    both = basic.join(quantiles(cells, ["column_name"], "value", QUARTILES), "column_name", "left")
     rounded = {c: F.bround(c, 2) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}
     return both.withColumns(rounded).select(
         place.alias("position"), "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"

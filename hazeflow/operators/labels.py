@@ -18,6 +18,7 @@ from hazeflow.operators.ordering import (
     row_blocks,
     running_with_carry,
     same_series,
+    value_counts,
 )
 from hazeflow.schemas import KEYS, LABEL
 
@@ -64,7 +65,7 @@ def chrono_split(df: DataFrame, val_size: float = 0.15, test_size: float = 0.15)
     wanted = spark.createDataFrame([(0, p) for p in sorted(set(cuts.values())) if p < n], "_all int, _at long")
     timed = df.filter(F.col("fetched_at").isNotNull())  # rows without a time sort last
     keys = timed.select(F.lit(0).alias("_all"), F.struct("fetched_at", "city").alias("_key"))
-    found = pick_positions(keys, ["_all"], "_key", F.broadcast(wanted), "_at")
+    found = pick_positions(value_counts(keys, ["_all"], "_key"), ["_all"], "_key", F.broadcast(wanted), "_at")
     starts = {r["_at"]: (r["us"], r["city"]) for r in found.select("_at", F.unix_micros("_key.fetched_at").alias("us"), "_key.city").collect()}
 
     def before(cut: int) -> Column:

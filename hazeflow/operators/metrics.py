@@ -40,6 +40,24 @@ def evaluate(df: DataFrame, prediction: str, label: str = LABEL) -> DataFrame:
     )
 
 
+def compare_predictions(df: DataFrame, predictions: dict[str, str], label: str = LABEL) -> DataFrame:
+    """Persistence and every model (name -> prediction column) as rows, from one pass."""
+    sides = {"Persistence": "aqi", **predictions}
+    one = df.agg(*[c for i, p in enumerate(sides.values()) for c in _metric_columns(label, p, f"_{i}_")])
+    base = F.col("_0_rmse")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("model_name"),
+                *[F.col(f"_{i}_{m}").alias(m) for m in ("rmse", "mae", "r2")],
+                F.coalesce(F.col(f"_{i}_rmse") < base, F.lit(False)).alias("beats_persistence"),
+            )
+            for i, name in enumerate(sides)
+        ]
+    )
+    return one.select(F.inline(rows))
+
+
 def within_tolerance(log: DataFrame, tolerance: float = 15, keys: list[str] | None = None) -> DataFrame:
     """Share (%) of predictions at most `tolerance` off; a missing side counts as a miss."""
     error = F.abs(F.col("predicted_aqi") - F.col("actual_aqi"))

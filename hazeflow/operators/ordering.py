@@ -129,18 +129,22 @@ def running_with_carry(
     )
 
 
-def pick_positions(df: DataFrame, group: list[str], value: str, wanted: DataFrame, position: str) -> DataFrame:
-    """The values that stand at given zero-based positions when each group is sorted by `value`.
+def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Non-null values of each group in order, equal ones counted in `_copies` before the shuffle."""
+    present = df.filter(F.col(value).isNotNull()).select(*group, value)
+    return lay_out(present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_copies")), [*group, value])
+
 
-    `wanted` has the group columns and a `position` column, a handful of rows per group.
-    Equal values collapse into one counted row before the first shuffle. Only the
-    partitions that hold a wanted position are numbered row by row.
+def pick_positions(counts: DataFrame, group: list[str], value: str, wanted: DataFrame, position: str) -> DataFrame:
+    """The values at given zero-based positions of each sorted group.
+
+    `counts` comes from `value_counts`; `wanted` has the group columns and a `position`
+    column, a handful of rows per group. Only the partitions that hold a wanted position are
+    numbered row by row.
     """
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_copies"))
-    laid = lay_out(counted, [*group, value])
     earlier = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     spans = (
-        laid.groupBy(PART, *group)
+        counts.groupBy(PART, *group)
         .agg(F.sum("_copies").alias("_span"))
         .withColumn("_lo", F.coalesce(F.sum("_span").over(earlier), F.lit(0)))
     )
@@ -148,27 +152,25 @@ def pick_positions(df: DataFrame, group: list[str], value: str, wanted: DataFram
     targets = spans.join(wanted, group).filter(inside)
     holding = targets.select(PART, *group, "_lo").distinct()
     upto = Window.partitionBy(PART, *group).orderBy(_TAG).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = laid.join(holding, [PART, *group]).withColumn("_hi", F.col("_lo") + F.sum("_copies").over(upto))
+    numbered = counts.join(holding, [PART, *group]).withColumn("_hi", F.col("_lo") + F.sum("_copies").over(upto))
     located = numbered.select(PART, *group, value, (F.col("_hi") - F.col("_copies")).alias("_from"), "_hi")
     at = (F.col(position) >= F.col("_from")) & (F.col(position) < F.col("_hi"))
     return targets.select(PART, *group, position).join(located, [PART, *group]).filter(at).select(*group, position, value)
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def quantiles(counts: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, one column per point."""
-    present = df.filter(F.col(value).isNotNull()).select(*group, value)
-    sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(*group).agg(F.sum("_copies").alias("_n"))
     rank = F.struct(*[(F.lit(q) * (F.col("_n") - 1)).alias(name) for name, q in points.items()])
     ranks = sizes.select(*group, rank.alias("_rank"))
     needed = F.array(*[f(F.col(f"_rank.{name}")).cast("long") for name in points for f in (F.floor, F.ceil)])
     wanted = ranks.select(*group, F.explode(F.array_distinct(needed)).alias("_at"))
-    found = pick_positions(present, group, value, wanted, "_at")
+    found = pick_positions(counts, group, value, wanted, "_at")
     table = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_at", value))).alias("_found"))
-    both = ranks.join(table, group)
     columns = []
     for name in points:
         r = F.col(f"_rank.{name}")
         low = F.element_at("_found", F.floor(r).cast("long"))
         high = F.element_at("_found", F.ceil(r).cast("long"))
         columns.append((low + (high - low) * (r - F.floor(r))).alias(name))
-    return both.select(*group, *columns)
+    return ranks.join(table, group).select(*group, *columns)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazeflow.functions import scalars as S
 from hazeflow.operators.audit import QUARTILES
-from hazeflow.operators.ordering import quantiles
+from hazeflow.operators.ordering import quantiles, value_counts
 from hazeflow.schemas import LABEL, numeric_columns
 
 # Groupings with few keys (hours, weekdays, months, seasons).
@@ -24,26 +22,24 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
 
 
-def _correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """All pairs from one aggregate, as rows (x, y, r)."""
-    one = df.agg(*[pearson(_clean(x), _clean(y)).alias(f"_r{i}") for i, (x, y) in enumerate(pairs)])
-    rows = F.array(
-        *[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"_r{i}").alias("r")) for i, (x, y) in enumerate(pairs)]
-    )
-    return one.select(F.inline(rows))
+def _correlations(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
+    """Rows (x, y, r) for all pairs: one row per x column, one aggregate column per y."""
+    sides = F.array(*[F.struct(F.lit(x).alias("x"), _clean(x).alias("_x")) for x in xs])
+    spread = df.select(F.inline(sides), *[_clean(y).alias(f"_y{i}") for i, y in enumerate(ys)])
+    wide = spread.groupBy("x").agg(*[pearson(F.col("_x"), F.col(f"_y{i}")).alias(f"_r{i}") for i in range(len(ys))])
+    rows = F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"_r{i}").alias("r")) for i, y in enumerate(ys)])
+    return wide.select("x", F.inline(rows))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df.schema)
-    half = _correlations(df, list(combinations_with_replacement(columns, 2)))
-    mirrored = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    return half.unionByName(mirrored)
+    return _correlations(df, columns, columns)
 
 
 def top_correlated(df: DataFrame, n: int = 5, target: str = "aqi") -> DataFrame:
     """The n columns with the strongest correlation to `target`, with its sign."""
     others = [c for c in numeric_columns(df.schema) if c not in (target, LABEL)]
-    rows = _correlations(df, [(c, target) for c in others]).select(F.col("x").alias("feature"), "r")
+    rows = _correlations(df, others, [target]).select(F.col("x").alias("feature"), "r")
     ranked = rows.filter(F.col("r").isNotNull()).withColumn("magnitude", F.abs("r"))
     return ranked.orderBy(F.desc("magnitude"), "feature").limit(n)
 
@@ -70,19 +66,14 @@ def box_stats(df: DataFrame, by: str, value: str = "aqi") -> DataFrame:
     """Quartiles, mean, 1.5-IQR whiskers and outlier count per key of a calendar column."""
     if by not in BOX_AXES:
         raise ValueError(f"group by one of {BOX_AXES}")
-    counted = (
-        df.select(by, _clean(value).alias("_x"))
-        .filter(F.col(by).isNotNull() & F.col("_x").isNotNull())
-        .groupBy(by, "_x")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    box = quantiles(df.select(by, _clean(value).alias("_x")).filter(F.col(by).isNotNull()), [by], "_x", QUARTILES)
+    counts = value_counts(df.select(by, _clean(value).alias("_x")).filter(F.col(by).isNotNull()), [by], "_x")
+    box = quantiles(counts, [by], "_x", QUARTILES)
     reach = (F.col("p75") - F.col("p25")) * 1.5
     fenced = box.withColumns({"_low": F.col("p25") - reach, "_high": F.col("p75") + reach})
     x, inside = F.col("_x"), (F.col("_x") >= F.col("_low")) & (F.col("_x") <= F.col("_high"))
     # at most 24 keys, see BOX_AXES
     return (
-        counted.join(F.broadcast(fenced), by)
+        counts.join(F.broadcast(fenced), by)
         .groupBy(by, "p25", "p50", "p75")
         .agg(
             F.sum("_copies").alias("n"),
