@@ -21,6 +21,7 @@ from hazeflow.functions import scalars as S
 from hazeflow.operators.keyed import keep_last
 from hazeflow.operators.ordering import lay_out, running_with_carry
 from hazeflow.schemas import KEYS
+from hazeflow.scratch import materialize
 
 WIDTH_HOURS = 7 * 24
 CROWD_ROWS = 4_000_000
@@ -184,6 +185,17 @@ def _point_scan(base: DataFrame, targets: DataFrame, specs: list) -> DataFrame:
     return joined.withColumns(means) if means else joined
 
 
+def _crowded(df: DataFrame, reach: int, width: int, limit: int) -> DataFrame | None:
+    """Buckets with more than `limit` rows, copies included; at most rows / limit of them.
+
+    Reads two columns and counts map-side.
+    """
+    timed = df.filter(F.col("fetched_at").isNotNull()).select("city", S.micros(F.col("fetched_at")).alias("_us"))
+    counted = _spread(timed, reach, width).groupBy("city", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    found = materialize(counted.filter(F.col("_n") > limit).select("city", "_bucket"), "crowded")
+    return None if found.isEmpty() else found
+
+
 def look_back(
     df: DataFrame,
     specs: list,
@@ -197,31 +209,23 @@ def look_back(
     `unique=True` promises that (city, fetched_at) is a key; otherwise the last copy is kept.
     `crowd_rows=None` skips the count where density is known to be low.
     """
+    reach, width = max(s.reach for s in specs), round(width_hours * S.HOUR_US)
+    names = [s.name for s in specs]
+    crowded = None if crowd_rows is None else _crowded(df, reach, width, crowd_rows)
     if not unique:
         # rows without a time are no copies of each other: keep them apart by content
         stray = F.when(F.col("fetched_at").isNull(), F.xxhash64(*df.columns))
         df = keep_last(df.withColumn("_stray", stray), [*KEYS, "_stray"]).drop("_stray")
-    reach, width = max(s.reach for s in specs), round(width_hours * S.HOUR_US)
     base = _base(df, value)
-    names = [s.name for s in specs]
     spread = _spread(base, reach, width)
-    if crowd_rows is not None:
-        crowded = (
-            _spread(base.select("city", "_us", "_v").filter(F.col("_us").isNotNull()), reach, width)
-            .groupBy("city", "_bucket")
-            .count()
-            .filter(F.col("count") > crowd_rows)
-            .select("city", "_bucket")
-        )
-        if not crowded.isEmpty():
-            crowded = F.broadcast(crowded)  # at most rows / crowd_rows entries
-            calm = _windows(spread.join(crowded, ["city", "_bucket"], "left_anti"), specs)
-            home = base.withColumn("_bucket", F.expr(f"_us div {width}"))
-            targets = home.join(crowded, ["city", "_bucket"], "left_semi").drop("_bucket")
-            readings = base.join(crowded.select("city").distinct(), "city", "left_semi")
-            dense = _point_scan(readings, targets, specs)
-            columns = [*df.columns, *names]
-            return calm.select(*columns).unionByName(dense.select(*columns))
+    if crowded is not None:
+        calm = _windows(spread.join(F.broadcast(crowded), ["city", "_bucket"], "left_anti"), specs)
+        home = base.withColumn("_bucket", F.expr(f"_us div {width}"))
+        targets = home.join(F.broadcast(crowded), ["city", "_bucket"], "left_semi").drop("_bucket")
+        readings = base.join(F.broadcast(crowded.select("city").distinct()), "city", "left_semi")
+        dense = _point_scan(readings, targets, specs)
+        columns = [*df.columns, *names]
+        return calm.select(*columns).unionByName(dense.select(*columns))
     return _windows(spread, specs).select(*df.columns, *names)
 
 
