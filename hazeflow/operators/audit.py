@@ -97,10 +97,27 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None)
     return df.select(*(keep or []), F.inline(cells))
 
 
-def summary_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, deviation and exact quartiles of every numeric column, two decimals."""
-    columns = columns or numeric_columns(df.schema)
-    shown = [c for c in SUMMARY_FIRST if c in columns] + [c for c in columns if c not in SUMMARY_FIRST]
+def _one_pass_stats(df: DataFrame, shown: list[str], accuracy: int) -> DataFrame:
+    """Summary rows from a single aggregate, quartiles approximate."""
+    def stats(c):
+        v = S.nan_as_null(F.col(c).cast("double"))
+        q = F.percentile_approx(v, list(QUARTILES.values()), accuracy)
+        return F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(v).alias("count"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            *[F.get(q, F.lit(i)).alias(name) for i, name in enumerate(QUARTILES)],
+            F.max(v).alias("max"),
+        )
+
+    one = df.agg(*[stats(c).alias(f"_s{i}") for i, c in enumerate(shown)])
+    return one.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(shown))])))
+
+
+def _exact_stats(df: DataFrame, shown: list[str]) -> DataFrame:
+    """Summary rows from the ordered, counted values of each column."""
     cells = long_form(df.select(*shown), shown).withColumn("value", S.nan_as_null(F.col("value")))
     counts = value_counts(cells, ["column_name"], "value")
     v, n = F.col("value"), F.col("_copies")
@@ -116,9 +133,20 @@ def summary_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     named = df.sparkSession.createDataFrame([(c,) for c in shown], "column_name string")
     quartiles = quantiles(counts, ["column_name"], "value", QUARTILES)
     both = named.join(basic, "column_name", "left").join(spread, "column_name", "left").join(quartiles, "column_name", "left")
-    both = both.withColumn("count", F.coalesce("count", F.lit(0)))
+    return both.withColumn("count", F.coalesce("count", F.lit(0)))
+
+
+def summary_stats(df: DataFrame, columns: list[str] | None = None, approximate: int | None = None) -> DataFrame:
+    """Count, mean, deviation and quartiles of every numeric column, two decimals.
+
+    Quartiles are exact and cost a shuffle of the distinct values; `approximate` names the
+    accuracy of `percentile_approx` instead, which needs one pass and no shuffle of values.
+    """
+    columns = columns or numeric_columns(df.schema)
+    shown = [c for c in SUMMARY_FIRST if c in columns] + [c for c in columns if c not in SUMMARY_FIRST]
+    rows = _one_pass_stats(df, shown, approximate) if approximate else _exact_stats(df, shown)
     place = F.array_position(F.array(*[F.lit(c) for c in shown]), F.col("column_name")).cast("int")
     rounded = {c: F.bround(c, 2) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}
-    return both.withColumns(rounded).select(
+    return rows.withColumns(rounded).select(
         place.alias("position"), "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )

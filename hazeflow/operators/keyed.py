@@ -30,7 +30,8 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> Dat
 
 
 def chronological(df: DataFrame, by: str = "fetched_at") -> DataFrame:
-    return df.orderBy(*[c for c in ("city",) if c in df.columns], by)
+    """Sorted by city and time; the random last key spreads many rows of one instant."""
+    return df.orderBy(*[c for c in ("city",) if c in df.columns], by, F.rand(0))
 
 
 def latest_row(df: DataFrame, by: str = "fetched_at") -> DataFrame:

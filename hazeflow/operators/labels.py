@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazeflow.operators.keyed import keep_last
 from hazeflow.operators.metrics import regression_metrics
 from hazeflow.operators.ordering import (
     block_window,
@@ -41,7 +42,8 @@ def forecast_target(df: DataFrame, horizon: int = HORIZON, value: str = "aqi", m
     kept = [c for c in df.columns if c != name]
     if mode == "time":
         ahead = df.select("city", (F.col("fetched_at") - F.expr(f"INTERVAL {horizon} HOURS")).alias("fetched_at"), F.col(value).alias(name))
-        return df.select(*kept).join(ahead.filter(F.col(name).isNotNull()), KEYS).select(*kept, name)
+        ahead = keep_last(ahead.filter(F.col(name).isNotNull()), KEYS)
+        return df.select(*kept).join(ahead, KEYS).select(*kept, name)
     rows = row_blocks(order_index(df.select(*kept), KEYS), after=horizon)
     w = block_window(rows)
     there = same_series(w, ["city"], horizon)

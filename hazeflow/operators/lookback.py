@@ -155,7 +155,7 @@ def _point_scan(base: DataFrame, targets: DataFrame, specs: list) -> DataFrame:
     lookups = targets.select(
         "city", "_us", F.inline(F.array(*[F.struct(F.lit(a).alias("_ask"), F.lit(o).alias("_o"), F.lit(p).alias("_side")) for a, o, p in asks]))
     ).select("city", (F.col("_us") + F.col("_o")).alias("_t"), "_side", "_us", "_ask", F.lit(None).cast("double").alias("_v"))
-    laid = lay_out(readings.unionByName(lookups), ["city", "_t", "_side", "_us", "_ask"])
+    laid = lay_out(readings.unionByName(lookups), ["city", "_t", "_side", "_us", "_ask"], unique=True)
     laid = laid.withColumn("_pt", F.when(F.col("_v").isNotNull(), F.struct(F.col("_us").alias("us"), F.col("_v").alias("value"))))
     scanned = running_with_carry(
         laid,

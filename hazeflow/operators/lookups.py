@@ -15,8 +15,11 @@ MODEL_HORIZON = 72
 
 
 def merge_snapshot(air: DataFrame, weather: DataFrame) -> DataFrame:
-    """One row per city and time; a source that failed leaves its columns NULL."""
-    return air.join(weather.select(*KEYS, *WEATHER), KEYS, "full")
+    """One row per city and time; a source that failed leaves its columns NULL.
+
+    Copies of a key collapse on either side first, so no key meets itself many times.
+    """
+    return keep_last(air, KEYS).join(keep_last(weather.select(*KEYS, *WEATHER), KEYS), KEYS, "full")
 
 
 def attach_weather(pollution: DataFrame, weather: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row nu
 BLOCK_ROWS = 1 << 16
 
 
-def lay_out(df: DataFrame, keys: list[str]) -> DataFrame:
+def lay_out(df: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     """`df` in global key order, written once; `_part` and `_tag` say where each row lies.
 
-    Rows that are equal on all keys stay together, so make the keys unique first.
+    Unless the keys are `unique`, a random last key lets many equal rows fill several partitions.
     """
-    tagged = df.orderBy(*keys).withColumn(_TAG, F.monotonically_increasing_id())
+    ties = [] if unique else [F.rand(0)]
+    tagged = df.orderBy(*keys, *ties).withColumn(_TAG, F.monotonically_increasing_id())
     return materialize(tagged, "ordered").withColumn(PART, F.shiftright(_TAG, _ROW_BITS))
 
 
@@ -132,7 +133,7 @@ def running_with_carry(
 def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Non-null values of each group in order, equal ones counted in `_copies` before the shuffle."""
     present = df.filter(F.col(value).isNotNull()).select(*group, value)
-    return lay_out(present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_copies")), [*group, value])
+    return lay_out(present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_copies")), [*group, value], unique=True)
 
 
 def pick_positions(counts: DataFrame, group: list[str], value: str, wanted: DataFrame, position: str) -> DataFrame:
