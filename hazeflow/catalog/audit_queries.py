@@ -31,7 +31,7 @@ _FEATURE_NAMES = FEATURE_SCHEMA.fieldNames()
         select="SELECT *, null_pct > 30.0 AS needs_attention FROM ("
         + _rows(
             "SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,"
-            " round_even((count(*) - count({c})) / count(*)::DOUBLE * 100.0::DOUBLE, 2) AS null_pct FROM {t}",
+            " printf('%.2f', (count(*) - count({c})) / count(*)::DOUBLE * 100.0::DOUBLE)::DOUBLE AS null_pct FROM {t}",
             _FEATURE_NAMES,
             "features",
         )
@@ -45,7 +45,7 @@ def a1_null_audit(spark, sf_dir):
 @query(
     "a2_coverage",
     with_sql(
-        select="""SELECT *, least(100.0::DOUBLE, round_even(total_rows / greatest(expected_slots, 1)::DOUBLE * 100.0::DOUBLE, 2)) AS completeness_pct
+        select="""SELECT *, least(100.0::DOUBLE, printf('%.2f', total_rows / greatest(expected_slots, 1)::DOUBLE * 100.0::DOUBLE)::DOUBLE) AS completeness_pct
         FROM (SELECT city, count(*) AS total_rows, min(fetched_at) AS start_at, max(fetched_at) AS end_at,
           floor((epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 1e6::DOUBLE / 3600.0::DOUBLE)::BIGINT + 1 AS expected_slots
           FROM readings GROUP BY city)"""
@@ -57,8 +57,8 @@ def a2_coverage(spark, sf_dir):
 
 def _gaps_sql(table: str) -> str:
     return with_sql(
-        select=f"""SELECT city, prev AS gap_start, fetched_at AS gap_end, round_even(h, 2) AS gap_hours,
-          greatest(1, round_even(round_even(h - 1.0::DOUBLE, 1), 0)::INTEGER) AS missing_slots
+        select=f"""SELECT city, prev AS gap_start, fetched_at AS gap_end, printf('%.2f', h)::DOUBLE AS gap_hours,
+          greatest(1, round_even(printf('%.1f', h - 1.0::DOUBLE)::DOUBLE, 0)::INTEGER) AS missing_slots
         FROM (SELECT *, (epoch_us(fetched_at) - epoch_us(prev)) / 1e6::DOUBLE / 3600.0::DOUBLE AS h
           FROM (SELECT city, fetched_at, lag(fetched_at) OVER (PARTITION BY city ORDER BY fetched_at) AS prev FROM {table}))
         WHERE h >= 1.5"""
@@ -95,10 +95,10 @@ _STATS_ORDER = [c for c in audit.SUMMARY_FIRST if c in _NUMERIC] + [c for c in _
     with_sql(
         features_sql(),
         select=_rows(
-            "SELECT {i}::INTEGER AS position, '{c}' AS column_name, count({c}) AS count, round_even(avg({c}::DOUBLE), 2) AS mean,"
-            " round_even(stddev_samp({c}::DOUBLE), 2) AS std, round_even(min({c}::DOUBLE), 2) AS min,"
-            " round_even(quantile_cont({c}::DOUBLE, 0.25), 2) AS p25, round_even(quantile_cont({c}::DOUBLE, 0.5), 2) AS p50,"
-            " round_even(quantile_cont({c}::DOUBLE, 0.75), 2) AS p75, round_even(max({c}::DOUBLE), 2) AS max FROM {t}",
+            "SELECT {i}::INTEGER AS position, '{c}' AS column_name, count({c}) AS count, round_even(avg({c}::DOUBLE) * 100, 0) / 100 AS mean,"
+            " round_even(stddev_samp({c}::DOUBLE) * 100, 0) / 100 AS std, round_even(min({c}::DOUBLE) * 100, 0) / 100 AS min,"
+            " round_even(quantile_cont({c}::DOUBLE, 0.25) * 100, 0) / 100 AS p25, round_even(quantile_cont({c}::DOUBLE, 0.5) * 100, 0) / 100 AS p50,"
+            " round_even(quantile_cont({c}::DOUBLE, 0.75) * 100, 0) / 100 AS p75, round_even(max({c}::DOUBLE) * 100, 0) / 100 AS max FROM {t}",
             _STATS_ORDER,
             "features",
         ),

@@ -69,7 +69,7 @@ _MEASURES_SQL = """
     (30 + k % 60)::DOUBLE AS humidity,
     CASE WHEN k % 10 <> 0 THEN (k % 80) / 10.0::DOUBLE END AS wind_speed,
     (1000 + k % 20)::DOUBLE AS pressure
-  FROM (SELECT *, round_even(value, 1) AS c FROM {base})
+  FROM (SELECT *, printf('%.1f', value)::DOUBLE AS c FROM {base})
 """
 
 
@@ -118,11 +118,11 @@ def asof_sql(table: str, hours: str, tolerance: str, name: str) -> str:
 
 def mean_sql(hours: int) -> str:
     over = f"OVER (PARTITION BY r.city ORDER BY r.fetched_at RANGE BETWEEN INTERVAL {hours} HOUR PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN r.aqi IS NOT NULL AND count(r.aqi) {over} >= 3 THEN round_even(avg(r.aqi) {over}, 2) END"
+    return f"CASE WHEN r.aqi IS NOT NULL AND count(r.aqi) {over} >= 3 THEN printf('%.2f', avg(r.aqi) {over})::DOUBLE END"
 
 
 def rate_sql(past: str) -> str:
-    return f"CASE WHEN {past} > 0 THEN round_even((r.aqi - {past}) / {past}, 4) END"
+    return f"CASE WHEN {past} > 0 THEN printf('%.4f', (r.aqi - {past}) / {past})::DOUBLE END"
 
 
 def features_sql(table: str = "readings", name: str = "features") -> str:
@@ -135,7 +135,7 @@ def features_sql(table: str = "readings", name: str = "features") -> str:
     {rate_sql("b.past_aqi")} AS aqi_change_rate_24h,
     {mean_sql(6)} AS aqi_rolling_mean_6h,
     {mean_sql(24)} AS aqi_rolling_mean_24h,
-    CASE WHEN r.pm10 > 0 THEN round_even(r.pm25 / r.pm10, 4) END AS pm25_pm10_ratio,
+    CASE WHEN r.pm10 > 0 THEN printf('%.4f', r.pm25 / r.pm10)::DOUBLE END AS pm25_pm10_ratio,
     NULL::DOUBLE AS target_aqi_3d
   FROM {table} r
   LEFT JOIN {name}_1h a ON r.city = a.city AND r.fetched_at = a.fetched_at

@@ -67,7 +67,7 @@ def sc3_season(spark, sf_dir):
     return orders.select("o_orderkey", S.season(F.month("o_orderdate")).alias("season"))
 
 
-@query("sc4_pm25_to_aqi", f"SELECT event_id, value, {aqi_sql()} AS aqi FROM (SELECT *, round_even(value, 1) AS c FROM events)")
+@query("sc4_pm25_to_aqi", f"SELECT event_id, value, {aqi_sql()} AS aqi FROM (SELECT *, printf('%.1f', value)::DOUBLE AS c FROM events)")
 def sc4_pm25_to_aqi(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return ev.select("event_id", "value", S.pm25_to_aqi(F.col("value")).alias("aqi"))
@@ -91,7 +91,7 @@ def j5_aqi_breakpoint_lookup(spark, sf_dir):
 
 @query(
     "sc5_pm_ratio",
-    with_sql(select="SELECT city, fetched_at, CASE WHEN pm10 > 0 THEN round_even(pm25 / pm10, 4) END AS pm25_pm10_ratio FROM readings_raw"),
+    with_sql(select="SELECT city, fetched_at, CASE WHEN pm10 > 0 THEN printf('%.4f', pm25 / pm10)::DOUBLE END AS pm25_pm10_ratio FROM readings_raw"),
 )
 def sc5_pm_ratio(spark, sf_dir):
     ratio = S.pm_ratio(F.col("pm25"), F.col("pm10"))

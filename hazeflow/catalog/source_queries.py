@@ -115,7 +115,7 @@ def _weather_history_payloads(df):
     return _daily(df, F.struct(F.unix_timestamp("fetched_at").alias("dt"), main.alias("main"), wind.alias("wind")), _listed)
 
 
-_POLLUTION = f"""pollution AS (SELECT fetched_at, city, {aqi_sql("pm25", "round_even(pm25, 1)")} AS aqi, pm25, pm10, o3, no2, so2, co
+_POLLUTION = f"""pollution AS (SELECT fetched_at, city, {aqi_sql("pm25", "printf('%.1f', pm25)::DOUBLE")} AS aqi, pm25, pm10, o3, no2, so2, co
   FROM readings WHERE so2 <> 7)"""
 
 

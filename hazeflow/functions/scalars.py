@@ -49,6 +49,15 @@ def nan_as_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def round_exact(c: Column, digits: int) -> Column:
+    """Round the exact binary value, half to even: what rounding a float means in the stored tables.
+
+    `bround` rounds the shortest decimal form instead and differs on ties that only look like ties.
+    """
+    text = F.call_function("format_number", c, F.lit("0." + "0" * digits))
+    return F.coalesce(text.try_cast("double"), c)
+
+
 def _iso_text(s: Column) -> Column:
     tidy = F.regexp_replace(s, r"([T ].*[+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(s.rlike(_ISO), tidy)
@@ -98,25 +107,38 @@ def time_features(ts: Column) -> dict[str, Column]:
     }
 
 
+def _interpolate(c: Column, c_low: float, c_high: float, i_low: int, i_high: int) -> Column:
+    slope = F.lit(float(i_high - i_low)) / F.lit(c_high - c_low)
+    return slope * (c - F.lit(c_low)) + F.lit(float(i_low))
+
+
 def band_lookup(c: Column, bands=PM25_BANDS) -> Column:
     """Linear interpolation inside the band that holds `c`; NULL between and beyond the bands."""
     chain = None
-    for c_low, c_high, i_low, i_high in bands:
-        slope = F.lit(float(i_high - i_low)) / F.lit(c_high - c_low)
-        value = slope * (c - F.lit(c_low)) + F.lit(float(i_low))
-        hit = (c >= c_low) & (c <= c_high)
+    for band in bands:
+        hit, value = (c >= band[0]) & (c <= band[1]), _interpolate(c, *band)
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain
 
 
+def _rounds_up_to(x: Column, high: float) -> Column:
+    """Whether `x` rounded to one decimal is at most `high`, asked of `x` itself."""
+    tie = round(high + 0.05, 2)
+    return x <= tie if round(tie, 1) <= high else x < tie
+
+
 def pm25_to_aqi(pm25: Column) -> Column:
-    c = F.bround(nan_as_null(pm25), 1)
-    top = PM25_BANDS[-1][1]
-    return F.when(pm25 >= 0, F.when(c > top, F.lit(PM25_CEILING).cast("double")).otherwise(F.bround(band_lookup(c), 0)))
+    """US EPA index of the concentration rounded to one decimal; it is rounded once, in the band it falls in."""
+    x = nan_as_null(pm25)
+    c = round_exact(x, 1)
+    chain = F.when(~(x >= 0), None)
+    for band in PM25_BANDS:
+        chain = chain.when(_rounds_up_to(x, band[1]), F.bround(_interpolate(c, *band), 0))
+    return chain.when(x.isNotNull(), F.lit(float(PM25_CEILING)))
 
 
 def pm_ratio(pm25: Column, pm10: Column) -> Column:
-    return F.when(pm10 > 0, F.bround(F.try_divide(pm25, pm10), 4))
+    return F.when(pm10 > 0, round_exact(F.try_divide(pm25, pm10), 4))
 
 
 def aqi_category(aqi: Column) -> Column:

@@ -27,7 +27,7 @@ def null_audit(df: DataFrame, threshold: float = ATTENTION_PCT) -> DataFrame:
         F.count(F.lit(1)).alias("_total"), *[F.count_if(missing(c)).alias(f"_n{i}") for i, c in enumerate(df.columns)]
     )
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("null_count")) for i, c in enumerate(df.columns)])
-    pct = F.bround(F.col("null_count") / F.col("_total") * 100.0, 2)
+    pct = S.round_exact(F.col("null_count") / F.col("_total") * 100.0, 2)
     return (
         counts.filter(F.col("_total") > 0)
         .select("_total", F.inline(rows))
@@ -43,7 +43,7 @@ def coverage(df: DataFrame, cadence_hours: float = 1.0) -> DataFrame:
     )
     seconds = (F.unix_micros("end_at") - F.unix_micros("start_at")) / 1e6
     slots = F.floor(seconds / 3600.0 / cadence_hours) + 1
-    share = F.bround(F.col("total_rows") / F.greatest(F.col("expected_slots"), F.lit(1)) * 100.0, 2)
+    share = S.round_exact(F.col("total_rows") / F.greatest(F.col("expected_slots"), F.lit(1)) * 100.0, 2)
     return spans.withColumn("expected_slots", slots).withColumn("completeness_pct", F.least(F.lit(100.0), share))
 
 
@@ -69,7 +69,7 @@ def find_gaps(df: DataFrame, cadence_hours: float = 1.0, threshold_hours: float
         eras.select("city", F.lag("_last").over(between).alias("_from"), F.col("_first").alias("_to"))
     )
     hours = (F.col("_to") - F.col("_from")) / 1e6 / 3600.0
-    slots = F.bround(F.bround(F.col("_hours") - cadence_hours, 1), 0).cast("int")
+    slots = F.bround(S.round_exact(F.col("_hours") - cadence_hours, 1), 0).cast("int")
     return (
         steps.filter(F.col("_to") - F.col("_from") >= width)
         .withColumn("_hours", hours)
@@ -77,7 +77,7 @@ def find_gaps(df: DataFrame, cadence_hours: float = 1.0, threshold_hours: float
             "city",
             F.timestamp_micros("_from").alias("gap_start"),
             F.timestamp_micros("_to").alias("gap_end"),
-            F.bround("_hours", 2).alias("gap_hours"),
+            S.round_exact(F.col("_hours"), 2).alias("gap_hours"),
             F.greatest(F.lit(1), slots).alias("missing_slots"),
         )
     )
@@ -146,7 +146,7 @@ def summary_stats(df: DataFrame, columns: list[str] | None = None, approximate:
     shown = [c for c in SUMMARY_FIRST if c in columns] + [c for c in columns if c not in SUMMARY_FIRST]
     rows = _one_pass_stats(df, shown, approximate) if approximate else _exact_stats(df, shown)
     place = F.array_position(F.array(*[F.lit(c) for c in shown]), F.col("column_name")).cast("int")
-    rounded = {c: F.bround(c, 2) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}
+    rounded = {c: F.rint(F.col(c) * 100) / 100 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}
     return rows.withColumns(rounded).select(
         place.alias("position"), "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )

@@ -78,7 +78,7 @@ def _pick_nearest(spec: Nearest, us: Column, older: Column, newer: Column) -> Co
 
 
 def _finish_mean(total: Column, n: Column, current: Column) -> Column:
-    return F.when(current.isNotNull() & (n >= MIN_POINTS), F.bround(total / n, 2))
+    return F.when(current.isNotNull() & (n >= MIN_POINTS), S.round_exact(total / n, 2))
 
 
 def _base(df: DataFrame, value: str) -> DataFrame:
@@ -244,7 +244,7 @@ def asof_nearest(df: DataFrame, hours: float, tolerance: float, **options) -> Da
 
 def rate(current: Column, past: Column) -> Column:
     """Relative change, 4 decimals; NULL without a positive past value."""
-    return F.when(past > 0, F.bround((current - past) / past, 4))
+    return F.when(past > 0, S.round_exact((current - past) / past, 4))
 
 
 def change_rate(df: DataFrame, spec: Nearest = PAST_1H, name: str = "aqi_change_rate_1h", **options) -> DataFrame:
