@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazeflow.catalog.readings import features_sql, readings, readings_raw, readings_user, with_sql
+from hazeflow.catalog.readings import events, features_sql, readings, readings_raw, readings_user, with_sql
 from hazeflow.catalog.registry import query
 from hazeflow.operators import audit, keyed, stats
 from hazeflow.plans.features import build_features
@@ -256,7 +256,7 @@ def o6_preview_gaps(spark, sf_dir):
     ),
 )
 def w9_keep_last(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     day = F.date_trunc("DAY", F.col("ts").cast("timestamp"))
     writes = ev.select(F.col("event_type").alias("city"), day.alias("fetched_at"), F.col("value").alias("pm25"), "event_id")
     return keyed.keep_last(writes, order=["event_id"])

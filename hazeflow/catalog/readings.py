@@ -12,8 +12,15 @@ from hazeflow.functions import scalars as S
 from hazeflow.session import configure
 
 
+EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configure(spark).read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", k.alias("k"))
 

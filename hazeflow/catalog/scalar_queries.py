@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazeflow.catalog.readings import CALENDAR_SQL, aqi_sql, features_sql, readings, readings_raw, with_sql
+from hazeflow.catalog.readings import CALENDAR_SQL, aqi_sql, events, features_sql, readings, readings_raw, with_sql
 from hazeflow.catalog.registry import query
 from hazeflow.functions import projections as P
 from hazeflow.functions import scalars as S
@@ -22,7 +22,7 @@ _TEXTS_SQL = """texts AS (
 
 
 def _texts(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     style = F.get_json_object("props", "$.k").cast("int") % 5
     suffix = F.when(style == 0, "").when(style == 1, "Z").when(style == 2, "+05:00").otherwise("-0330")
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), suffix)
@@ -69,7 +69,7 @@ def sc3_season(spark, sf_dir):
 
 @query("sc4_pm25_to_aqi", f"SELECT event_id, value, {aqi_sql()} AS aqi FROM (SELECT *, printf('%.1f', value)::DOUBLE AS c FROM events)")
 def sc4_pm25_to_aqi(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     return ev.select("event_id", "value", S.pm25_to_aqi(F.col("value")).alias("aqi"))
 
 
@@ -85,7 +85,7 @@ _BANDS = [(0.0, 10.0, 0, 10), (10.0, 100.0, 10, 60), (100.0, 600.0, 60, 100)]
 )
 def j5_aqi_breakpoint_lookup(spark, sf_dir):
     """Band interpolation with a band table of the caller's."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     return ev.select("event_id", F.round(S.band_lookup(F.col("value"), _BANDS), 6).alias("band_index"))
 
 
@@ -126,7 +126,7 @@ def sc7_category_color(spark, sf_dir):
 
 @query("sc8_forecast_ts", "SELECT event_id, ts + INTERVAL 72 HOUR AS forecast_timestamp FROM events")
 def sc8_forecast_ts(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     return ev.select("event_id", S.forecast_ts(F.col("ts").cast("timestamp")).alias("forecast_timestamp"))
 
 
@@ -136,7 +136,7 @@ def sc8_forecast_ts(spark, sf_dir):
     " (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 9 AS n FROM events)",
 )
 def sc9_day_name(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = events(spark, sf_dir)
     n = F.get_json_object("props", "$.k").cast("int") % 9
     return ev.select("event_id", S.day_name(n).alias("day_name"))
 

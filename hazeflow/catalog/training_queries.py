@@ -11,6 +11,7 @@ from hazeflow.functions import scalars as S
 from hazeflow.operators import labels, lookups, metrics, preparing
 from hazeflow.plans.features import build_features
 from hazeflow.schemas import MEASURES
+from hazeflow.scratch import materialize
 
 _LABELLED = """labelled AS (
   SELECT * FROM (SELECT * EXCLUDE (target_aqi_3d), lead(aqi, 72) OVER (PARTITION BY city ORDER BY fetched_at) AS target_aqi_3d FROM features)
@@ -29,7 +30,7 @@ def labelled(spark, sf_dir):
 
 
 def parts(spark, sf_dir):
-    return labels.chrono_split(labelled(spark, sf_dir))
+    return labels.chrono_split(materialize(labelled(spark, sf_dir), "labelled"))
 
 
 def _metrics_sql(table: str, y: str, p: str, where: str = "TRUE") -> str:

@@ -30,20 +30,21 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> Dat
 
 
 def chronological(df: DataFrame, by: str = "fetched_at") -> DataFrame:
-    """Sorted by city and time; the random last key spreads many rows of one instant."""
-    return df.orderBy(*[c for c in ("city",) if c in df.columns], by, F.rand(0))
+    """Sorted by city and time; a hash of the row spreads many rows of one instant."""
+    return df.orderBy(*[c for c in ("city",) if c in df.columns], by, F.xxhash64(*df.columns))
 
 
 def latest_row(df: DataFrame, by: str = "fetched_at") -> DataFrame:
     """Newest row of each city."""
     rest = [c for c in df.columns if c != "city"]
-    newest = df.groupBy("city").agg(F.max_by(F.struct(*rest), by).alias("_row"))
+    rank = F.when(F.col(by).isNotNull(), F.struct(by, *[c for c in rest if c != by]))
+    newest = df.groupBy("city").agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return newest.select(*[F.col(c) if c == "city" else F.col(f"_row.{c}") for c in df.columns])
 
 
 def last_n(df: DataFrame, n: int, by: str = "fetched_at") -> DataFrame:
     """Last n rows of each city; Spark trims each input partition to n rows before the shuffle."""
-    newest_first = Window.partitionBy("city").orderBy(F.desc(by))
+    newest_first = Window.partitionBy("city").orderBy(F.desc(by), F.xxhash64(*df.columns))
     return df.withColumn("_rn", F.row_number().over(newest_first)).filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -2,6 +2,7 @@
 
 Row-offset operators work on equal blocks of a global (city, time) order with copies of the
 few rows past each edge, so neither a long series nor a dense stretch makes a big task.
+They expect (city, fetched_at) to be unique, as it is in the stored tables.
 """
 
 from __future__ import annotations

@@ -192,8 +192,10 @@ def _crowded(df: DataFrame, reach: int, width: int, limit: int) -> DataFrame | N
     """
     timed = df.filter(F.col("fetched_at").isNotNull()).select("city", S.micros(F.col("fetched_at")).alias("_us"))
     counted = _spread(timed, reach, width).groupBy("city", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    found = materialize(counted.filter(F.col("_n") > limit).select("city", "_bucket"), "crowded")
-    return None if found.isEmpty() else found
+    fullest = counted.agg(F.max("_n")).first()[0]
+    if fullest is None or fullest <= limit:
+        return None
+    return materialize(counted.filter(F.col("_n") > limit).select("city", "_bucket"), "crowded")
 
 
 def look_back(
@@ -206,7 +208,8 @@ def look_back(
 ) -> DataFrame:
     """Add one column per spec: a mean, or a struct (us, value) for the nearest reading.
 
-    `unique=True` promises that (city, fetched_at) is a key; otherwise the last copy is kept.
+    `unique=True` promises that (city, fetched_at) is a key; otherwise one row per key is kept,
+    the greatest by its other columns.
     `crowd_rows=None` skips the count where density is known to be low.
     """
     reach, width = max(s.reach for s in specs), round(width_hours * S.HOUR_US)

@@ -52,7 +52,7 @@ def forecast_horizons(scored: DataFrame, prediction: str = "prediction") -> Data
     rows = timed.withColumn("_cell", F.expr(f"_us div {S.HOUR_US}"))
     off = F.abs(F.col("_us") - F.col("_target"))
     near = rows.join(asked, ["city", "_cell"]).filter(off <= tol)
-    best = near.groupBy("city", "_latest", "_h").agg(F.min_by(F.struct("_p"), F.struct(off, "_us")).alias("_best"))
+    best = near.groupBy("city", "_latest", "_h").agg(F.min_by(F.struct("_p"), F.struct(off, "_us", "_p")).alias("_best"))
     value = S.nan_as_null(F.col("_best._p").cast("double"))
     return best.select(
         "city",

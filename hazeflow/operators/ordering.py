@@ -24,9 +24,11 @@ BLOCK_ROWS = 1 << 16
 def lay_out(df: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     """`df` in global key order, written once; `_part` and `_tag` say where each row lies.
 
-    Unless the keys are `unique`, a random last key lets many equal rows fill several partitions.
+    Unless the keys are `unique`, rows that share them are ordered by a hash of their content, so
+    that they may fill several partitions and a lost task recomputes the same order. Exact copies
+    stay together: collapse them first, as `keep_last` does.
     """
-    ties = [] if unique else [F.rand(0)]
+    ties = [] if unique else [F.xxhash64(*df.columns)]
     tagged = df.orderBy(*keys, *ties).withColumn(_TAG, F.monotonically_increasing_id())
     return materialize(tagged, "ordered").withColumn(PART, F.shiftright(_TAG, _ROW_BITS))
 

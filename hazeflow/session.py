@@ -14,13 +14,16 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Set at start only: no call-site lookup for every expression built from Python.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(app: str = "hazeflow", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or get) a session; on a cluster leave `master` to spark-submit."""
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

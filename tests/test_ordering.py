@@ -23,8 +23,8 @@ def test_positions_are_the_sorted_order(scattered):
     assert got["t"].tolist() == ordered["t"].tolist()
 
 
-def test_many_copies_of_a_key_fill_several_partitions(scattered):
-    df = scattered.range(4000).select(F.lit("a").alias("city"), F.lit(1).alias("t"))
+def test_many_rows_of_a_key_fill_several_partitions(scattered):
+    df = scattered.range(4000).select(F.lit("a").alias("city"), F.lit(1).alias("t"), "id")
     sizes = O.order_index(df, ["city", "t"]).groupBy(O.PART).count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2000
 
