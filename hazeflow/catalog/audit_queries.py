@@ -87,6 +87,19 @@ def j4_missing_dates(spark, sf_dir):
     return audit.missing_dates(readings_user(spark, sf_dir), "2023-12-25", "2024-02-05")
 
 
+@query(
+    "u2_date_difference",
+    with_sql(
+        select="""SELECT c.city, d.date FROM (SELECT DISTINCT city FROM readings) c,
+          (SELECT unnest(generate_series(DATE '2023-12-31', DATE '2024-02-01', INTERVAL 1 DAY))::DATE AS date) d
+        EXCEPT SELECT city, fetched_at::DATE FROM readings"""
+    ),
+)
+def u2_date_difference(spark, sf_dir):
+    """Calendar minus dates seen, on the hourly readings."""
+    return audit.missing_dates(readings(spark, sf_dir), "2023-12-31", "2024-02-01")
+
+
 _STATS_ORDER = [c for c in audit.SUMMARY_FIRST if c in _NUMERIC] + [c for c in _NUMERIC if c not in audit.SUMMARY_FIRST]
 
 

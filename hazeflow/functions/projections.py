@@ -37,8 +37,10 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
+    """NULL for NaN in every floating column; column types stay."""
+    types = dict(df.dtypes)
     columns = float_columns(df.schema)
-    return df.withColumns({c: S.nan_as_null(F.col(c)) for c in columns}) if columns else df
+    return df.withColumns({c: S.nan_as_null(F.col(c)).cast(types[c]) for c in columns}) if columns else df
 
 
 def model_matrix(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -46,7 +46,8 @@ def finite(c: Column) -> Column:
 
 
 def nan_as_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    """NULL for NaN; evaluates the column once."""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def round_exact(c: Column, digits: int) -> Column:
