@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only for local runs without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="hazeflow-"))
-    return f"{root.rstrip('/')}/hazeflow/{app}"
+    """Folder of this application under `spark.checkpoint.dir`, or under the warehouse where that is unset.
+
+    Both are shared by driver and executors on a cluster; machine-local folders are never used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{root.rstrip('/')}/hazeflow/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
 
 SF = os.environ.get("HAZEFLOW_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = contract.registry.all_queries(), contract.registry.all_oracles()
 
 # Long runs whose operators other tests cover; HAZEFLOW_TEST_ALL=1 includes them.
 LONG = {
