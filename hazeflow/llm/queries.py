@@ -1,0 +1,42 @@
+"""The registered queries of this subpackage, their SQL twins, and the digests the contracts name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with its DuckDB twin if there is one."""
+
+    def register(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _oracles[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from hazeflow.llm import catalog  # noqa: F401
+
+
+def all_queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def all_oracles() -> dict[str, str]:
+    _load()
+    return dict(_oracles)
