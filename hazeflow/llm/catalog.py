@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from hazeflow.llm import simhash
+from pyspark.sql import functions as F
+
+from hazeflow.llm import decontaminate, simhash
 from hazeflow.llm.queries import query, table
 
 
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.col("found")["items"]
+    return found.select(
+        "doc_id",
+        F.col("found")["n_words"].alias("n_words"),
+        decontaminate.n_hit(F.col("found")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("found")).alias("contaminated"),
+    )
