@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, simhash
+from hazeflow.llm import decontaminate, simhash, word_bpe
 from hazeflow.llm.queries import query, table
 
 
@@ -25,3 +26,26 @@ def op9_benchmark_decontamination(spark, sf_dir):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("found")).alias("contaminated"),
     )
+
+
+def tokenizer_json(path: str | None = None) -> str:
+    """The tokenizer file, of bounded size; by default the public one that the query is defined by."""
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def token_digests(docs, path=None):
+    tokenizer = tokenizer_json(path)
+    tokens = word_bpe.encode(docs, tokenizer)
+    decoded = word_bpe.decode(F.col("ids"), tokenizer)
+    return tokens.select(
+        "doc_id",
+        word_bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_bpe_encoding_and_decoding")
+def op8_bpe_encoding_and_decoding(spark, sf_dir):
+    return token_digests(table(spark, sf_dir, "documents"))
