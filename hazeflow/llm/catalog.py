@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, simhash, word_bpe
+from hazeflow.llm import decontaminate, simhash, suffix_dedup, word_bpe
 from hazeflow.llm.queries import query, table
 
 
@@ -49,3 +49,8 @@ def token_digests(docs, path=None):
 @query("op8_bpe_encoding_and_decoding")
 def op8_bpe_encoding_and_decoding(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("version")
