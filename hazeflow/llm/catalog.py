@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, simhash, suffix_dedup, word_bpe
+from hazeflow.llm import decontaminate, mil_quality, simhash, suffix_dedup, word_bpe
 from hazeflow.llm.queries import query, table
 
 
@@ -54,3 +54,9 @@ def op8_bpe_encoding_and_decoding(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("version")
+
+
+@query("op7_attention_quality_classifier")
+def op7_attention_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mil_quality.scored(docs, mil_quality.fit(docs, table(spark, sf_dir, "labels")))
