@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, mil_quality, simhash, suffix_dedup, word_bpe
+from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, word_bpe
 from hazeflow.llm.queries import query, table
 
 
@@ -60,3 +60,8 @@ def op10_suffix_array_dedup(spark, sf_dir):
 def op7_attention_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mil_quality.scored(docs, mil_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_distribution_divergence")
+def op6_distribution_divergence(spark, sf_dir):
+    return divergence.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
