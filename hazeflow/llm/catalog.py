@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, word_bpe
+from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, twins, url_reputation, word_bpe
 from hazeflow.llm.queries import query, table
 
 
@@ -65,3 +65,10 @@ def op7_attention_quality_classifier(spark, sf_dir):
 @query("op6_distribution_divergence")
 def op6_distribution_divergence(spark, sf_dir):
     return divergence.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query("op1_host_reputation", twins.URL_REPUTATION)
+def op1_host_reputation(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_reputation.page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return url_reputation.judged(pages, outcomes).drop("rate", "upper")

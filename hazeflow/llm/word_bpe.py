@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -28,7 +29,7 @@ from pyspark.sql.functions import arrow_udf
 from hazeflow.llm.frames import slices
 from hazeflow.scratch import scratch_path
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 BUCKETS_PER_PARTITION = 4
 SPECIAL = "<|"  # texts with it are split but not lower-cased: special tokens are told apart by case
 
@@ -44,17 +45,27 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 
+PACKED_AT_ONCE = 1 << 18
+
+
 def _pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of variable-length numbers, and how many bytes each takes."""
+    parts = [_pack_some(numbers[i : i + PACKED_AT_ONCE]) for i in range(0, len(numbers), PACKED_AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int8)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _pack_some(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
     ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out = np.empty(int(ends[-1]), np.uint8)
     at, rest, left = ends - sizes, numbers.astype(np.uint64), sizes.copy()
     while len(at):
         more = left > 1
         out[at] = (rest & 127) | (more.astype(np.uint64) << 7)
         at, rest, left = at[more] + 1, rest[more] >> 7, left[more] - 1
-    return out, sizes
+    return out, sizes.astype(np.int8)
 
 
 def _unpack(data: np.ndarray) -> np.ndarray:
@@ -67,6 +78,14 @@ def _unpack(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
@@ -77,20 +96,20 @@ def _block_rows(block: int, ids: list[pa.Array], words: list[pa.Array], counts:
     encoded = pa.concat_arrays(words).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False)
     used = np.bincount(codes, minlength=len(encoded.dictionary))
-    rank = np.empty(len(used), np.int64)
+    rank = np.empty(len(used), np.int32)
     rank[np.argsort(-used, kind="stable")] = np.arange(len(used))
     texts = encoded.dictionary.cast(pa.large_binary()).to_pylist()
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in texts), np.int64, len(texts))
     order = np.lexsort((rank, bucket))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     own = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-    spelled = [b" ".join(texts[i] for i in order[edges[b] : edges[b + 1]]) for b in own]
+    spelled = [_small(b" ".join(texts[i] for i in order[edges[b] : edges[b + 1]])) for b in own]
     ranks = [_pack(np.diff(rank[order[edges[b] : edges[b + 1]]], prepend=0))[0].tobytes() for b in own]
     none = pa.nulls(len(own), ids[0].type)
     yield _rows(block, pa.array(own, pa.int32()), pa.array(spelled, pa.binary()), pa.array(ranks, pa.binary()), none)
     packed, sizes = _pack(rank[codes])
     per_doc = np.concatenate(counts)
-    ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(per_doc)]]
+    ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)][np.r_[0, np.cumsum(per_doc)]]
     numbers = _binaries(packed, np.diff(ends)).cast(pa.binary())
     n = len(per_doc)
     yield _rows(block, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), numbers, pa.concat_arrays(ids))
@@ -137,7 +156,7 @@ def _encoder(tokenizer_json):
             for own, spelled in zip(batch.column("bucket").to_pylist(), batch.column("words")):
                 if own != bucket:
                     bucket, known = own, {}
-                words = spelled.as_py().split(b" ")
+                words = _whole(spelled.as_py()).split(b" ")
                 new = [w for w in words if w not in known]
                 for begin in range(0, len(new), 10_000):
                     part = new[begin : begin + 10_000]
@@ -145,7 +164,7 @@ def _encoder(tokenizer_json):
                     known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, found))
                 pieces = [known[w] for w in words]
                 flat = np.frombuffer(b"".join(pieces), np.uint32)
-                ids.append(_pack(flat)[0].tobytes())
+                ids.append(_small(_pack(flat)[0].tobytes()))
                 sizes.append(_pack(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)[0].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
@@ -161,7 +180,7 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     for r, s, i in zip(words["numbers"], words["sizes"], words["ids"]):
         ranks.append(np.cumsum(_unpack(np.frombuffer(r.as_py(), np.uint8))))
         sizes.append(_unpack(np.frombuffer(s.as_py(), np.uint8)))
-        ids.append(_unpack(np.frombuffer(i.as_py(), np.uint8)).astype(np.uint32))
+        ids.append(_unpack(np.frombuffer(_whole(i.as_py()), np.uint8)).astype(np.uint32))
     rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
     size, begin = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
