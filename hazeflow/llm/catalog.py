@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, twins, url_reputation, word_bpe
+from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, twins, url_reputation, virtual_slots, word_bpe
 from hazeflow.llm.queries import query, table
+from hazeflow.scratch import scratch_path
 
 
 @query("op2_simhash_near_dedup")
@@ -72,3 +73,8 @@ def op1_host_reputation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.page_outcomes(pages, table(spark, sf_dir, "labels"))
     return url_reputation.judged(pages, outcomes).drop("rate", "upper")
+
+
+@query("op5_virtual_slot_sharding")
+def op5_virtual_slot_sharding(spark, sf_dir):
+    return virtual_slots.sharded(table(spark, sf_dir, "documents"), scratch_path(spark, "slot-map"))
