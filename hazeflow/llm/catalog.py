@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, divergence, mil_quality, simhash, suffix_dedup, twins, url_reputation, virtual_slots, word_bpe
+from hazeflow.llm import decontaminate, divergence, mil_quality, reply_trees, simhash, suffix_dedup, twins, url_reputation, virtual_slots, warc, word_bpe
 from hazeflow.llm.queries import query, table
 from hazeflow.scratch import scratch_path
 
@@ -78,3 +78,28 @@ def op1_host_reputation(spark, sf_dir):
 @query("op5_virtual_slot_sharding")
 def op5_virtual_slot_sharding(spark, sf_dir):
     return virtual_slots.sharded(table(spark, sf_dir, "documents"), scratch_path(spark, "slot-map"))
+
+
+@query("op3_warc_transactions")
+def op3_warc_transactions(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+
+
+CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op4_reply_trees", twins.REPLY_TREES)
+def op4_reply_trees(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], rows.schema)
+    formatted = reply_trees.formatted_branches(reply_trees.turns_as_trees(rows.unionByName(added)))
+    turns, loss = reply_trees.read_back(F.col("formatted")), reply_trees.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read = formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
