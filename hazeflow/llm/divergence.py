@@ -20,22 +20,22 @@ from hazeflow.scratch import materialize
 
 COMMON_WORDS = 32
 MIN_WORDS, MIN_CHARS = 50, 200
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.45
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.45
 BROADCAST_LANGUAGES = 10_000
 FEW_REPEATS = 32  # up to it windows are looked up in the list of repeated ones, beyond it they are sorted
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-SYMBOLS = r"[#*$%&|<>]"
-# Character classes by the characters that are not in them; lower case, with all that is left, comes last.
+# Characters outside a class; what is left when they go is counted.
 NOT_IN_CLASS = {
     "upper": r"[^A-Z]+",
     "digit": r"[^0-9]+",
-    "symbol": r"[^#*$%&|<>@^~=+_/\\]+",
     "mark": r"[^.,;:!?'\"()\[\]{}`-]+",
+    "symbol": r"[^#*$%&|<>]+",
     "space": r"[^\x20\x09-\x0D]+",
-    "beyond": r"[\x00-\x7F]+",
 }
+SYMBOL, WHITE = 3, 4
+CLASSES = len(NOT_IN_CLASS) + 2  # and bytes beyond a character's first, and all others
 
 
 def _words(text: Column) -> Column:
@@ -78,15 +78,14 @@ def _repeated_words(windows: Column) -> Column:
     zero = F.lit(0).cast("long")
 
     def of_ordered(ordered: Column) -> Column:
-        return F.array_distinct(_kept(F.transform(ordered, lambda h, i: F.when((i > 0) & (h == _next(ordered, i, -1)), h))))
+        return F.array_distinct(F.filter(ordered, lambda h, i: h == _next(ordered, i)))
 
     def of_again(again: Column) -> Column:
         few = F.size(again) <= FEW_REPEATS
         places = F.when(few, _places_by_lookup(windows, again)).otherwise(_places_by_sort(windows))
         return F.when(F.size(again) == 0, zero).otherwise(_let(places, lambda p: _covered(p, 3)))
 
-    again = _let(F.sort_array(windows), of_ordered)
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), zero).otherwise(_let(again, of_again))
+    return _let(_let(F.sort_array(windows), of_ordered), of_again)
 
 
 def _window_keys(words: Column) -> Column:
@@ -94,27 +93,26 @@ def _window_keys(words: Column) -> Column:
     return F.slice(keys, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
 
 
-def _word_counts(text: Column, words: Column) -> dict[str, Column]:
+def _class_counts(text: Column) -> Column:
+    return F.array(*[F.length(F.regexp_replace(text, out, "")) for out in NOT_IN_CLASS.values()])
+
+
+def _word_counts(text: Column, words: Column, counts: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "word_chars": (F.length(text) - F.get(counts, F.lit(WHITE))).cast("long"),
+        "n_symbols": F.get(counts, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": _let(_window_keys(words), _repeated_words),
     }
 
 
-def class_histogram(text: Column) -> Column:
-    """Shares of the character classes, an array; of an empty text all are 0."""
-    counts = F.array(*[F.length(F.regexp_replace(text, out, "")) for out in NOT_IN_CLASS.values()])
-    total = F.length(text)
-
-    def shares(c: Column) -> Column:
-        rest = total - F.aggregate(c, F.lit(0), lambda a, x: a + x)
-        return F.transform(F.concat(c, F.array(rest)), lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
-
-    return _let(counts, shares)
+def class_histogram(text: Column, counts: Column) -> Column:
+    """Shares of a text's bytes: the classes, bytes beyond a character's first, and all others."""
+    named = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    every = F.concat(counts, F.array(F.octet_length(text) - F.length(text), F.length(text) - named))
+    return F.transform(every, lambda x: x / F.octet_length(text))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -146,15 +144,18 @@ def common_words(docs: DataFrame, text: str, lang: str, n: int = COMMON_WORDS) -
 
 def word_histogram(words: Column, common: Column) -> Column:
     """Shares of the common words, then of all others."""
-    n = F.size(common).cast("long")
-    ranks = F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda r: r > 0)
-    # every rank once more, in order, so that the places where they begin tell how often each occurs
-    ordered = F.sort_array(F.concat(ranks, F.sequence(F.lit(1).cast("long"), n + 1)))
-    begins = _let(ordered, lambda o: F.transform(F.sequence(F.lit(1).cast("long"), n + 1), lambda k: F.array_position(o, k)))
-    counts = _let(begins, lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _next(b, i) - at - 1))
+    none = F.expr("cast(array() as array<int>)")
+
+    def count(state: Column, word: Column) -> Column:
+        left = F.array_remove(state["left"], word)
+        both = lambda x: F.struct(x.alias("left"), F.concat(state["counts"], F.array(F.size(state["left"]) - F.size(x))).alias("counts"))
+        return _let(left, both)
+
+    found = F.filter(words, lambda w: F.array_contains(common, w))
+    counts = F.aggregate(common, F.struct(found.alias("left"), none.alias("counts")), count, lambda s: s["counts"])
 
     def shares(c: Column) -> Column:
-        rest = F.size(words) - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+        rest = F.size(words) - F.aggregate(c, F.lit(0), lambda a, x: a + x)
         return F.transform(F.concat(c, F.array(rest)), lambda x: x / F.size(words))
 
     return _let(counts, shares)
@@ -184,16 +185,19 @@ def judged(
     slim = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), col(lang_col).cast("string").alias("lang"))
     reference = materialize(common_words(slim, "text", "lang"), "common")
 
-    def counted(words: Column) -> Column:
+    text = F.col("text")
+
+    def counted(words: Column, counts: Column) -> Column:
         near = jensen_shannon(word_histogram(words, F.col("common")), F.col("shares"))
         spoken = F.when(F.size(words) >= MIN_WORDS, near)
-        return F.struct(*[c.alias(n) for n, c in _word_counts(F.col("text"), words).items()], spoken.alias("word_distance"))
+        classes = F.when(F.length(text) >= MIN_CHARS, class_histogram(text, counts))
+        columns = [c.alias(n) for n, c in _word_counts(text, words, counts).items()]
+        return F.struct(*columns, spoken.alias("word_distance"), classes.alias("classes"))
 
-    classes = F.when(F.length("text") >= MIN_CHARS, class_histogram(F.col("text")))
-    rows = _with_reference(slim, reference).select("doc_id", "lang", _let(_words(F.col("text")), counted).alias("counts"), classes.alias("classes"))
-    rows = rows.select("doc_id", "lang", "counts.*", "classes")
+    found = _let(_words(text), lambda words: _let(_class_counts(text), lambda counts: counted(words, counts)))
+    rows = _with_reference(slim, reference).select("doc_id", "lang", found.alias("found")).select("doc_id", "lang", "found.*")
     rows = materialize(rows, "histograms")
-    means = [F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(NOT_IN_CLASS) + 1)]
+    means = [F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
     typical = rows.groupBy(F.col("lang").alias("language")).agg(*means)
     typical = typical.select("language", F.array(*[F.col(f"c{i}") for i in range(len(means))]).alias("typical"))
     distance = F.when(F.col("classes").isNotNull(), jensen_shannon(F.col("classes"), F.col("typical")))
