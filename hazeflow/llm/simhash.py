@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from hazeflow.llm.components import components
-from hazeflow.llm.frames import free_name, slices, utf8
+from hazeflow.llm.frames import col, free_name, slices, utf8
 from hazeflow.scratch import materialize
 
 SHINGLE_WORDS = 3
@@ -201,7 +201,7 @@ def near_duplicates(
     and passes links on but is never a `component_id` (null where no id is reachable). Repeated rows
     stay repeated. An empty table gives an empty result. Other columns are ignored.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp"))
+    source = docs.select(col(id_col).alias("doc_id"), fingerprint_column(col(text_col), shingle_words).alias("fp"))
     prints = materialize(source, "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = materialize(components(fingerprint_links(nodes, radius)), "components")
@@ -210,7 +210,9 @@ def near_duplicates(
     named = members.select("fp", "root").join(roots, "root").select(F.col("fp").alias("linked_fp"), "component")
     alone = nodes.join(named, F.col("fp") == F.col("linked_fp"), "left")
     # a fingerprint without links is a component of its own
-    classes = alone.select(F.col("fp").alias("class_fp"), F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    component = F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("component"))
+    # a written table, one row per fingerprint, so that the join can split the rows of a very common one
+    classes = materialize(alone.select(F.col("fp").alias("class_fp"), component.alias("component_id")), "classes")
     return prints.join(classes, F.col("fp") == F.col("class_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -227,14 +229,17 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept, again = first.filter("n = 1"), first.filter("n > 1")
     nameless = found.filter(F.col("component_id").isNull())
     key, copies = free_name(docs, "kept_id"), free_name(docs, "copies")
-    flagged = docs.join(kept.select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_semi")
-    repeated = docs.join(again.select(F.col("doc_id").alias(key), F.col("n").alias(copies)), F.col(id_col) == F.col(key), "left_semi")
+    flagged = docs.join(kept.select(F.col("doc_id").alias(key)), col(id_col) == F.col(key), "left_semi")
+    repeated = docs.join(again.select(F.col("doc_id").alias(key), F.col("n").alias(copies)), col(id_col) == F.col(key), "left_semi")
     plain = [c for c in docs.columns if c != id_col]
-    one = repeated.groupBy(id_col).agg(F.max(F.struct(*plain)).alias(copies)).select(id_col, f"{copies}.*").select(*docs.columns)
+    best = F.max(F.struct(*[col(c).alias(f"_{i}") for i, c in enumerate(plain)]))
+    one = repeated.groupBy(col(id_col).alias(key)).agg(best.alias(copies))
+    values = {id_col: F.col(key), **{c: F.col(copies)[f"_{i}"] for i, c in enumerate(plain)}}
+    one = one.select(*[values[c].alias(c) for c in docs.columns])
     out = flagged.unionByName(one)
     if nameless.limit(1).count():  # texts that only rows without an id have: one row of each fingerprint
         shown = free_name(docs, "shown_fp")
-        bare = docs.filter(F.col(id_col).isNull()).withColumn(shown, fingerprint_column(F.col(text_col), options.get("shingle_words", SHINGLE_WORDS)))
+        bare = docs.filter(col(id_col).isNull()).withColumn(shown, fingerprint_column(col(text_col), options.get("shingle_words", SHINGLE_WORDS)))
         bare = bare.withColumn(shown, F.lpad(F.lower(F.hex(shown)), 16, "0"))
         bare = bare.join(nameless.select(F.col("fingerprint").alias(key)), F.col(shown) == F.col(key), "left_semi")
         out = out.unionByName(bare.dropDuplicates([shown]).drop(shown))
