@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from hazeflow.catalog.readings import (
     asof_sql,
@@ -93,7 +93,32 @@ def w12_derived_overlay(spark, sf_dir):
     return L.derived_overlay(readings(spark, sf_dir), unique=True)
 
 
-@query("w1_w4_dense_scan", with_sql(features_sql("readings_raw"), select=f"SELECT {_ALL} FROM features"))
-def w1_w4_dense_scan(spark, sf_dir):
-    """Feature rows through the point scan that crowded buckets take (every bucket counts as crowded)."""
-    return build_features(readings_raw(spark, sf_dir), crowd_rows=0)
+@query("w1_w4_narrow_buckets", with_sql(features_sql("readings_raw"), select=f"SELECT {_ALL} FROM features"))
+def w1_w4_narrow_buckets(spark, sf_dir):
+    """Feature rows with five-hour buckets, as for very dense series; every look-back crosses several."""
+    return build_features(readings_raw(spark, sf_dir), width_hours=5)
+
+
+_OUTLIERS = """
+WITH series AS (
+  SELECT event_type AS city, ts AS fetched_at,
+         CASE WHEN max(event_id) % 97 = 0 THEN 1e17 ELSE floor(max_by(value, event_id) * 8) / 8 END AS aqi
+  FROM events GROUP BY 1, 2)
+"""
+
+
+@query(
+    "w1_outlier_series",
+    _OUTLIERS
+    + """SELECT city, fetched_at,
+       CASE WHEN count(*) OVER w >= 3 THEN printf('%.2f', avg(aqi) OVER w)::DOUBLE END AS aqi_rolling_mean_6h
+FROM series WINDOW w AS (PARTITION BY city ORDER BY fetched_at RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)
+QUALIFY max(aqi) OVER w < 1e17""",
+)
+def w1_outlier_series(spark, sf_dir):
+    """Means beside readings of 1e17, of the windows that hold none of them: as if those were not there."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("_outlier_events")
+    series = spark.sql(_OUTLIERS.replace("FROM events", "FROM _outlier_events") + "SELECT * FROM series")
+    found = L.rolling_mean(series.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), unique=True)
+    last = Window.partitionBy("city").orderBy(F.unix_micros("fetched_at")).rangeBetween(-6 * 3_600_000_000, 0)
+    return found.withColumn("_top", F.max("aqi").over(last)).filter("_top < 1e17").select("city", "fetched_at", "aqi_rolling_mean_6h")

@@ -2,13 +2,16 @@
 
 A city's series is cut into time buckets; each bucket also receives copies of the readings
 its first rows look back to, so a big city spreads over many tasks with one shuffle. Inside a
-bucket all frames start at the bucket's first row and only grow, which Spark evaluates in one
-pass: a window mean is the difference of two running sums, and the reading nearest to an
-instant is either the last one before it or that one's successor.
+bucket all frames start at a first row and only grow, which Spark evaluates in one pass. The
+reading nearest to an instant is either the last one before it or that one's successor.
 
-A bucket can still be crowded when readings are dense. Buckets are counted first; where one
-exceeds `crowd_rows`, its rows take the point-scan form below, which range-partitions readings
-and looked-up instants together and has no unit of work tied to a key or a time span.
+A window sum is never a difference of running sums, which one large value would spoil for all later
+windows. Time is cut into spans as long as the window: a window then covers the end of one span and the
+beginning of the next, so its sum is one sum up to the row plus one from the window's start on, and
+only readings inside the window enter it. The result does not depend on the buckets.
+
+Work per task is a city's readings in `width_hours` and the look-back before it; pass a smaller width for
+very dense series.
 """
 
 from __future__ import annotations
@@ -19,12 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazeflow.functions import scalars as S
 from hazeflow.operators.keyed import keep_last
-from hazeflow.operators.ordering import lay_out, running_with_carry
 from hazeflow.schemas import KEYS
-from hazeflow.scratch import materialize
 
 WIDTH_HOURS = 7 * 24
-CROWD_ROWS = 4_000_000
 STRAY_BUCKET = -(1 << 40)  # below any time bucket
 MIN_POINTS = 3
 
@@ -101,25 +101,42 @@ def _spread(base: DataFrame, reach: int, width: int) -> DataFrame:
     return out.withColumns(slim)
 
 
+def _span_sums(rows: DataFrame, spec: RollingMean) -> DataFrame:
+    """Adds, per row, sum and count from the row's span's first reading on (`up`) and to its last one (`down`)."""
+    span = f"_span_{spec.name}"
+    rows = rows.withColumn(span, F.expr(f"_us div {spec.reach}"))
+    forth = Window.partitionBy("city", "_bucket", span).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("city", "_bucket", span).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    for name, w in (("up", forth), ("down", back)):
+        both = F.struct(F.sum("_v").over(w).alias("sum"), F.count("_v").over(w).alias("n"))
+        rows = rows.withColumn(f"_{name}_{spec.name}", both)
+    return rows
+
+
 def _windows(spread: DataFrame, specs: list) -> DataFrame:
     w = Window.partitionBy("city", "_bucket").orderBy("_us")
     start = Window.unboundedPreceding
     over = "over (partition by city, _bucket order by _us)"
+    means = [s for s in specs if isinstance(s, RollingMean)]
     columns = {}
-    if any(isinstance(s, Nearest) for s in specs):
+    for s in means:
+        spread = _span_sums(spread, s)
+        edge = F.struct(F.col(f"_span_{s.name}").alias("span"), F.col(f"_down_{s.name}").alias("down"))
+        # what a window holds of the span before its row's: the end of that span from the window's first reading on
+        spread = spread.withColumn(f"_edge_{s.name}", edge)
+        spread = spread.withColumn(f"_next_{s.name}", F.expr(f"lead(_edge_{s.name}, 1) {over}"))
+        columns[f"_first_{s.name}"] = F.first(f"_edge_{s.name}").over(w.rangeBetween(start, 0))
+        columns[f"_from_{s.name}"] = F.last(f"_next_{s.name}").over(w.rangeBetween(start, -s.reach - 1))
+        columns[f"_older_{s.name}"] = F.count(F.lit(1)).over(w.rangeBetween(start, -s.reach - 1))
+    if len(means) < len(specs):
         point = F.when(F.col("_v").isNotNull(), F.struct(F.col("_us").alias("us"), F.col("_v").alias("value")))
         spread = spread.withColumn("_pt", point)
         spread = spread.withColumn("_succ", F.expr(f"lead(_pt, 1) ignore nulls {over}"))
         spread = spread.withColumn("_pair", F.when(F.col("_pt").isNotNull(), F.struct("_pt", "_succ")))
-        columns["_first"] = F.first("_pt", ignorenulls=True).over(w.rowsBetween(start, 0))
+        columns["_first"] = F.first("_pt", ignorenulls=True).over(w.rangeBetween(start, 0))
     for s in specs:
         if isinstance(s, Nearest):
             columns[f"_at_{s.name}"] = F.last("_pair", ignorenulls=True).over(w.rangeBetween(start, -_us(s.hours)))
-        else:
-            columns["_sum"] = F.sum("_v").over(w.rangeBetween(start, 0))
-            columns["_cnt"] = F.count("_v").over(w.rangeBetween(start, 0))
-            columns[f"_sum_{s.name}"] = F.sum("_v").over(w.rangeBetween(start, -s.reach - 1))
-            columns[f"_cnt_{s.name}"] = F.count("_v").over(w.rangeBetween(start, -s.reach - 1))
     framed = spread.withColumns(columns).filter("_home")
     us, v = F.col("_us"), F.col("_v")
     finished = {}
@@ -130,105 +147,34 @@ def _windows(spread: DataFrame, specs: list) -> DataFrame:
             # the first reading counts as "newer" only when it lies after the target instant
             finished[s.name] = _pick_nearest(s, us, pair["_pt"], newer)
         else:
-            n = F.col("_cnt") - F.col(f"_cnt_{s.name}")
-            total = F.col("_sum") - F.coalesce(F.col(f"_sum_{s.name}"), F.lit(0.0))
-            finished[s.name] = _finish_mean(total, n, v)
+            entry = F.when(F.col(f"_older_{s.name}") > 0, F.col(f"_from_{s.name}")).otherwise(F.col(f"_first_{s.name}"))
+            before = F.when(entry["span"] < F.col(f"_span_{s.name}"), entry["down"])
+            up, zero = F.col(f"_up_{s.name}"), F.lit(0)
+            total = F.coalesce(before["sum"], F.lit(0.0)) + up["sum"]
+            finished[s.name] = _finish_mean(total, F.coalesce(before["n"], zero) + up["n"], v)
     return framed.withColumns(finished)
 
 
-def _point_scan(base: DataFrame, targets: DataFrame, specs: list) -> DataFrame:
-    """The same columns for `targets`, keyed by (city, _us), from one ordered scan of points.
-
-    Every reading is a point at its own time; every lookup is a point at the instant it asks
-    about. Ordered by time, a lookup's answer is the running state at its place.
-    """
-    before, reading, after = 0, 1, 2
-    readings = base.filter(F.col("_us").isNotNull()).select(
-        "city", F.col("_us").alias("_t"), F.lit(reading).alias("_side"), "_us", F.lit("").alias("_ask"), "_v"
-    )
-    asks = []
-    for s in specs:
-        if isinstance(s, Nearest):
-            asks.append((s.name, -_us(s.hours), after))
-        else:
-            asks += [(s.name, -s.reach, before), (f"{s.name}:now", 0, after)]
-    lookups = targets.select(
-        "city", "_us", F.inline(F.array(*[F.struct(F.lit(a).alias("_ask"), F.lit(o).alias("_o"), F.lit(p).alias("_side")) for a, o, p in asks]))
-    ).select("city", (F.col("_us") + F.col("_o")).alias("_t"), "_side", "_us", "_ask", F.lit(None).cast("double").alias("_v"))
-    laid = lay_out(readings.unionByName(lookups), ["city", "_t", "_side", "_us", "_ask"], unique=True)
-    laid = laid.withColumn("_pt", F.when(F.col("_v").isNotNull(), F.struct(F.col("_us").alias("us"), F.col("_v").alias("value"))))
-    scanned = running_with_carry(
-        laid,
-        ["city"],
-        totals={"_sum": F.coalesce(F.col("_v"), F.lit(0.0)), "_cnt": F.col("_v").isNotNull().cast("long")},
-        forward=["_pt"],
-        backward=["_pt"],
-    ).filter(F.col("_ask") != "")
-    picks = []
-    for s in specs:
-        if isinstance(s, Nearest):
-            near = _pick_nearest(s, F.col("_us"), F.col("_pt__prev"), F.col("_pt__next"))
-            picks.append(F.max(F.when(F.col("_ask") == s.name, near)).alias(s.name))
-        else:
-            for suffix in ("", ":now"):
-                state = F.struct("_sum", "_cnt")
-                picks.append(F.max(F.when(F.col("_ask") == s.name + suffix, state)).alias(s.name + suffix.replace(":", "_")))
-    answers = scanned.groupBy("city", "_us").agg(*picks)
-    finished = {}
-    for s in specs:
-        if isinstance(s, RollingMean):
-            now, then = F.col(f"{s.name}_now"), F.col(s.name)
-            finished[s.name] = F.struct((now["_sum"] - then["_sum"]).alias("s"), (now["_cnt"] - then["_cnt"]).alias("n"))
-    answers = answers.withColumns(finished).select(F.col("city").alias("_c"), F.col("_us").alias("_u"), *[s.name for s in specs])
-    joined = targets.join(answers, F.col("city").eqNullSafe(F.col("_c")) & (F.col("_us") == F.col("_u")), "left")
-    means = {s.name: _finish_mean(F.col(s.name)["s"], F.col(s.name)["n"], F.col("_v")) for s in specs if isinstance(s, RollingMean)}
-    return joined.withColumns(means) if means else joined
-
-
-def _crowded(df: DataFrame, reach: int, width: int, limit: int) -> DataFrame | None:
-    """Buckets with more than `limit` rows, copies included; at most rows / limit of them.
-
-    Reads two columns and counts map-side.
-    """
-    timed = df.filter(F.col("fetched_at").isNotNull()).select("city", S.micros(F.col("fetched_at")).alias("_us"))
-    counted = _spread(timed, reach, width).groupBy("city", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    fullest = counted.agg(F.max("_n")).first()[0]
-    if fullest is None or fullest <= limit:
-        return None
-    return materialize(counted.filter(F.col("_n") > limit).select("city", "_bucket"), "crowded")
-
-
 def look_back(
     df: DataFrame,
     specs: list,
     value: str = "aqi",
     unique: bool = False,
     width_hours: float = WIDTH_HOURS,
-    crowd_rows: int | None = CROWD_ROWS,
 ) -> DataFrame:
     """Add one column per spec: a mean, or a struct (us, value) for the nearest reading.
 
     `unique=True` promises that (city, fetched_at) is a key; otherwise one row per key is kept,
-    the greatest by its other columns.
-    `crowd_rows=None` skips the count where density is known to be low.
+    the greatest by its other columns. The result does not depend on `width_hours`.
     """
     reach, width = max(s.reach for s in specs), round(width_hours * S.HOUR_US)
     names = [s.name for s in specs]
-    crowded = None if crowd_rows is None else _crowded(df, reach, width, crowd_rows)
     if not unique:
         # rows without a time are no copies of each other: keep them apart by content
         stray = F.when(F.col("fetched_at").isNull(), F.xxhash64(*df.columns))
         df = keep_last(df.withColumn("_stray", stray), [*KEYS, "_stray"]).drop("_stray")
-    base = _base(df, value)
-    spread = _spread(base, reach, width)
-    if crowded is not None:
-        calm = _windows(spread.join(F.broadcast(crowded), ["city", "_bucket"], "left_anti"), specs)
-        home = base.withColumn("_bucket", F.expr(f"_us div {width}"))
-        targets = home.join(F.broadcast(crowded), ["city", "_bucket"], "left_semi").drop("_bucket")
-        readings = base.join(F.broadcast(crowded.select("city").distinct()), "city", "left_semi")
-        dense = _point_scan(readings, targets, specs)
-        columns = [*df.columns, *names]
-        return calm.select(*columns).unionByName(dense.select(*columns))
+    # laid out once; the windows over parts of a bucket need no other layout
+    spread = _spread(_base(df, value), reach, width).repartition("city", "_bucket")
     return _windows(spread, specs).select(*df.columns, *names)
 
 

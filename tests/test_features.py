@@ -75,8 +75,25 @@ def test_forms_agree_with_the_definition(scattered):
         df = frame(scattered, rows)
         assert collected(L.derived_features(df.withColumns({"pm25": F.lit(1.0), "pm10": F.lit(1.0)}))) == expected
         assert collected(build_features(df, width_hours=5)) == expected  # look-backs cross many buckets
-        assert collected(build_features(df, crowd_rows=0)) == expected  # every bucket takes the point scan
-        assert collected(build_features(df, crowd_rows=60)) == expected  # some do
+        assert collected(build_features(df, width_hours=24)) == expected
+
+
+def test_large_values_spoil_only_their_windows(scattered):
+    """Fractions around one reading of 1e17: every width gives the sums of the readings in the window."""
+    rng = random.Random(4)
+    start = at("2026-01-01")
+    rows = [(start + dt.timedelta(minutes=20 * i), "A", 1e17 if i == 40 else rng.randrange(1, 3000) / 8) for i in range(300)]
+    rows += [(start + dt.timedelta(hours=i), "B", 1e17 if i == 0 else 10.0 * i) for i in range(40)]
+    spoilt = {(c, t) for c, big in (("A", rows[40][0]), ("B", start)) for t in (r[0] for r in rows) if dt.timedelta(0) <= t - big <= dt.timedelta(hours=26)}
+    expected = brute_force(rows)
+    for width in (5, 24, 168):
+        got = collected(build_features(frame(scattered, rows), width_hours=width))
+        exact = by_micros({k: v for k, v in expected.items() if k not in spoilt})
+        assert {k: got[k] for k in exact} == exact
+    worked = [(start, "A", 1e17)] + [(start + dt.timedelta(hours=h), "A", 10.0 * h) for h in range(1, 13)]
+    means = {k[1]: v[2] for k, v in collected(build_features(frame(scattered, worked))).items()}
+    at_hour = lambda h: means[int((start + dt.timedelta(hours=h)).timestamp()) * 1_000_000]
+    assert (at_hour(7), at_hour(12)) == (40.0, 90.0)
 
 
 def test_one_crowded_bucket_holds_most_rows(scattered):
@@ -86,7 +103,7 @@ def test_one_crowded_bucket_holds_most_rows(scattered):
     dense = {start + dt.timedelta(hours=30, seconds=rng.randrange(1800)): float(rng.randrange(1, 300)) for _ in range(250)}
     rows = [(t, "hot", v) for t, v in dense.items()] + [(start + dt.timedelta(hours=i), c, float(i + 1)) for c in ("hot", "cool", "mild") for i in range(60)]
     rows = list({(t, c): (t, c, v) for t, c, v in rows}.values())
-    assert collected(build_features(frame(scattered, rows), crowd_rows=100, width_hours=24)) == by_micros(brute_force(rows))
+    assert collected(build_features(frame(scattered, rows), width_hours=24)) == by_micros(brute_force(rows))
 
 
 def test_tie_takes_the_older_reading(spark):
