@@ -37,13 +37,11 @@ def tokenizer_json(path: str | None = None) -> str:
 
 def token_digests(docs, path=None):
     tokenizer = tokenizer_json(path)
-    tokens = word_bpe.encode(docs, tokenizer)
-    decoded = word_bpe.decode(F.col("ids"), tokenizer)
-    return tokens.select(
+    return word_bpe.decode(word_bpe.encode(docs, tokenizer), tokenizer).select(
         "doc_id",
         word_bpe.n_tokens(F.col("ids")).alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(decoded, 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

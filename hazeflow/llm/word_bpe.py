@@ -23,14 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from hazeflow.llm.frames import slices
+from hazeflow.llm.frames import free_name, slices
 from hazeflow.scratch import scratch_path
 
 BLOCK_WORDS = 2_000_000
 BUCKETS_PER_PARTITION = 4
+DECODED_BYTES = 1 << 18  # of ids, joined at once
 SPECIAL = "<|"  # texts with it are split but not lower-cased: special tokens are told apart by case
 
 
@@ -122,6 +122,7 @@ def _rows(block: int, bucket: pa.Array, words: pa.Array, numbers: pa.Array, ids:
 
 def _splitter(buckets: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed blocks back at once
         place, made = TaskContext.get().partitionId(), 0
         ids, words, counts, held = [], [], [], 0
         for batch in batches:
@@ -145,6 +146,7 @@ def _encoder(tokenizer_json):
     """Each distinct word of a bucket is encoded once; rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,6 +178,7 @@ def _encoder(tokenizer_json):
 
 def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     """Documents of one block with the ids of their words."""
+    pa.set_memory_pool(pa.system_memory_pool())
     ranks, sizes, ids = [], [], []
     for r, s, i in zip(words["numbers"], words["sizes"], words["ids"]):
         ranks.append(np.cumsum(_unpack(np.frombuffer(r.as_py(), np.uint8))))
@@ -224,29 +227,40 @@ def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
-def decode(ids: Column, tokenizer_json: str) -> Column:
-    """The ids' pieces with a space between, special tokens included; the table of pieces has a fixed size.
+def decode(tokens: DataFrame, tokenizer_json: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """`tokens` with the text `name`: the ids' pieces with a space between, special tokens included.
 
-    For tokenizer files without a decoder. Null gives null.
+    For tokenizer files without a decoder. The table of pieces has the tokenizer's fixed size, so every task holds
+    it and joins ids by position. Null ids give null; `name` must be free.
     """
     from tokenizers import Tokenizer
 
     if Tokenizer.from_str(tokenizer_json).decoder is not None:
         raise ValueError("the tokenizer has a decoder of its own")
+    if name != free_name(tokens, name):
+        raise ValueError(f"column {name} exists")
     vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True)
     table: list[str] = [""] * (max(vocabulary.values()) + 1)
     for piece, number in vocabulary.items():
         table[number] = piece
+    place = tokens.columns.index(ids_col)
 
-    def run(batch: pa.Array) -> pa.Array:
-        pieces, out = pa.array(table, pa.large_string()), []
-        for part in slices(batch, 1 << 20):
-            filled = pc.fill_null(part, b"")
-            flat = np.frombuffer(b"".join(filled.to_pylist()), "<u4")
-            ends = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False) // 4)
-            lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int64)), pieces.take(pa.array(flat)))
-            joined = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
-            out.append(pc.if_else(part.is_null(), pa.nulls(len(part), pa.string()), joined))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
-
-    return arrow_udf(run, "string").asNondeterministic()(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        pieces = pa.array(table, pa.large_string())
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(place), DECODED_BYTES):
+                rows, done = batch.slice(done, len(part)), done + len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns, _joined(part, pieces)], names=[*batch.schema.names, name])
+
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(name, T.StringType())]))
+
+
+def _joined(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    filled = pc.fill_null(ids, b"")
+    flat = np.frombuffer(b"".join(filled.to_pylist()), "<u4")
+    ends = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False) // 4)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int64)), pieces.take(pa.array(flat)))
+    joined = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+    return pc.if_else(ids.is_null(), pa.nulls(len(ids), pa.string()), joined)
