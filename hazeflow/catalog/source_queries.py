@@ -55,11 +55,16 @@ def so2_parse_openweather_current(spark, sf_dir):
     return payloads.parse_openweather_current(_weather_payloads(readings_raw(spark, sf_dir)))
 
 
-@query("so3_merge_snapshot", with_sql(_AIR, _SKY, select="SELECT * FROM air FULL JOIN (SELECT * FROM sky WHERE humidity > 45) s USING (fetched_at, city)"))
+_LANDED_AIR = "landed AS (SELECT fetched_at, city, " + ", ".join(
+    f"CASE WHEN so2 <> 3{' AND (aqi IS NULL OR so2 <> 5)' if c == 'o3' else ''} THEN {c} END AS {c}" for c in ("aqi", *POLLUTANTS)
+) + " FROM readings_raw)"
+
+
+@query("so3_merge_snapshot", with_sql(_LANDED_AIR, _SKY, select="SELECT * FROM landed FULL JOIN (SELECT * FROM sky WHERE humidity > 45) s USING (fetched_at, city)"))
 def so3_merge_snapshot(spark, sf_dir):
     """Air payloads fail for some rows, weather payloads are missing for others."""
     rows = readings_raw(spark, sf_dir)
-    air = payloads.parse_aqicn_current(_air_payloads(rows))
+    air = payloads.parse_aqicn_current(_air_payloads(rows), keep_failed=True)
     weather = payloads.parse_openweather_current(_weather_payloads(rows.filter("humidity > 45")))
     return lookups.merge_snapshot(air, weather)
 

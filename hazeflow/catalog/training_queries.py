@@ -186,9 +186,10 @@ def a5_persistence_baseline(spark, sf_dir):
     with_sql(
         features_sql(),
         _LABELLED,
-        f"m AS ({_metrics_sql(f'(SELECT *, {_PRED} AS prediction FROM labelled)', 'target_aqi_3d', 'prediction')})",
-        f"p AS ({_metrics_sql('labelled', 'target_aqi_3d', 'aqi')})",
-        select="""SELECT m.rmse AS model_rmse, m.mae AS model_mae, m.r2 AS model_r2, p.rmse AS persistence_rmse, p.mae AS persistence_mae,
+        f"both_sides AS (SELECT *, {_PRED} AS prediction FROM labelled WHERE aqi IS NOT NULL AND {_PRED} IS NOT NULL AND target_aqi_3d IS NOT NULL)",
+        f"m AS ({_metrics_sql('both_sides', 'target_aqi_3d', 'prediction')})",
+        f"p AS ({_metrics_sql('both_sides', 'target_aqi_3d', 'aqi')})",
+        select="""SELECT (SELECT count(*) FROM both_sides) AS n, m.rmse AS model_rmse, m.mae AS model_mae, m.r2 AS model_r2, p.rmse AS persistence_rmse, p.mae AS persistence_mae,
           p.r2 AS persistence_r2, round(p.rmse - m.rmse, 5) AS improvement_rmse, m.rmse < p.rmse AS beats_persistence FROM m, p""",
     ),
 )
@@ -326,8 +327,10 @@ def _comparison(spark, sf_dir):
     return _round(table, "rmse", "mae", "r2")
 
 
-_COMPARISON = "quality AS (" + "\nUNION ALL ".join(
-    f"SELECT '{n}' AS model_name, * FROM ({_metrics_sql(f'(SELECT target_aqi_3d, {p} AS p FROM labelled)', 'target_aqi_3d', 'p')})"
+_ALL_SIDES = " AND ".join(f"({p}) IS NOT NULL" for p in ("target_aqi_3d", *_CANDIDATES.values()))
+_COMPARISON = f"common AS (SELECT * FROM labelled WHERE {_ALL_SIDES}),\nquality AS (" + "\nUNION ALL ".join(
+    f"SELECT '{n}' AS model_name, *, (SELECT count(*) FROM common) AS n FROM"
+    f" ({_metrics_sql(f'(SELECT target_aqi_3d, {p} AS p FROM common)', 'target_aqi_3d', 'p')})"
     for n, p in _CANDIDATES.items()
 ) + "),\ncomparison AS (SELECT *, rmse < (SELECT rmse FROM quality WHERE model_name = 'Persistence') AS beats_persistence FROM quality)"
 

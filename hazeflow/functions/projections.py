@@ -80,20 +80,21 @@ def drop_null_prediction(df: DataFrame, prediction: str = "predicted_aqi") -> Da
 
 
 def recent_history(df: DataFrame, city: str, now: datetime | str, hours: int = 48) -> DataFrame:
-    """Readings of one city (any letter case) from `now - hours` on; sort at the sink with `chronological`."""
+    """Readings of one city (any letter case) from `now - hours` on, oldest first."""
     since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
     recent = df.filter((F.lower("city") == city.lower()) & (F.col("fetched_at") >= since))
     if "day" in df.columns:  # stored tables are partitioned by day: prune whole folders
         recent = recent.filter(F.col("day") >= F.to_date(since))
-    return nan_to_null(recent)
+    return nan_to_null(recent).orderBy("fetched_at", F.xxhash64(*recent.columns))
 
 
 def recent_predictions(log: DataFrame, now: datetime | str, days: int = 30) -> DataFrame:
+    """Logged predictions from `now - days` on, oldest first."""
     since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
     recent = log.filter(F.col("forecast_timestamp") >= since)
     if "day" in log.columns:
         recent = recent.filter(F.col("day") >= F.to_date(since))
-    return recent
+    return recent.orderBy("forecast_timestamp", F.xxhash64(*recent.columns))
 
 
 def display_row(forecast: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ DARK_TEXT_CATEGORIES = ["Good", "Moderate", UNKNOWN_CATEGORY]
 SEASONS = {"winter": [12, 1, 2], "spring": [3, 4, 5], "summer": [6, 7, 8]}
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.]\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
 def finite(c: Column) -> Column:
@@ -60,7 +60,8 @@ def round_exact(c: Column, digits: int) -> Column:
 
 
 def _iso_text(s: Column) -> Column:
-    tidy = F.regexp_replace(s, r"([T ].*[+-]\d{2})(\d{2})$", "$1:$2")
+    # finer than a microsecond is cut off
+    tidy = F.regexp_replace(F.regexp_replace(s, r"([T ].*[+-]\d{2})(\d{2})$", "$1:$2"), r"([.]\d{6})\d+", "$1")
     return F.when(s.rlike(_ISO), tidy)
 
 

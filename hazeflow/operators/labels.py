@@ -76,7 +76,9 @@ def chrono_split(df: DataFrame, val_size: float = 0.15, test_size: float = 0.15)
             return F.lit(True)
         us, city = starts[cut]
         here = F.unix_micros("fetched_at")
-        return (here < us) | ((here == us) & (F.col("city") < city))
+        # a null city comes first, as in the order
+        lower = F.lit(False) if city is None else F.col("city").isNull() | (F.col("city") < city)
+        return F.coalesce((here < us) | ((here == us) & lower), F.lit(False))
 
     label = F.when(before(cuts["val"]), "train")
     if cuts["val"] != cuts["test"]:

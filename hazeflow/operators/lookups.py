@@ -15,8 +15,9 @@ MODEL_HORIZON = 72
 
 
 def merge_snapshot(air: DataFrame, weather: DataFrame) -> DataFrame:
-    """One row per city and time; a source that failed leaves its columns NULL.
+    """One row per landed city and time; a source that failed leaves its columns NULL.
 
+    Give `air` with its failed payloads as rows without measures, so that their instants stay.
     Copies of a key collapse on either side first, so no key meets itself many times.
     """
     return keep_last(air, KEYS).join(keep_last(weather.select(*KEYS, *WEATHER), KEYS), KEYS, "full")

@@ -32,18 +32,29 @@ def persistence_baseline(df: DataFrame, label: str = LABEL) -> DataFrame:
     return regression_metrics(df, label, "aqi")
 
 
+def _common_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows on which all sides can be scored; comparing errors needs one sample."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def evaluate(df: DataFrame, prediction: str, label: str = LABEL) -> DataFrame:
-    """Model and persistence quality side by side from one pass."""
-    one = df.agg(*_metric_columns(label, prediction, "model_"), *_metric_columns(label, "aqi", "persistence_"))
+    """Model and persistence quality side by side, over the `n` rows that have both predictions and the label."""
+    common = _common_rows(df, [label, prediction, "aqi"])
+    sides = [*_metric_columns(label, prediction, "model_"), *_metric_columns(label, "aqi", "persistence_")]
+    one = common.agg(F.count(F.lit(1)).alias("n"), *sides)
     return one.withColumn("improvement_rmse", F.col("persistence_rmse") - F.col("model_rmse")).withColumn(
         "beats_persistence", F.coalesce(F.col("model_rmse") < F.col("persistence_rmse"), F.lit(False))
     )
 
 
 def compare_predictions(df: DataFrame, predictions: dict[str, str], label: str = LABEL) -> DataFrame:
-    """Persistence and every model (name -> prediction column) as rows, from one pass."""
+    """Persistence and every model (name -> prediction column) as rows, all over the same `n` rows: those with the
+    label and every prediction."""
     sides = {"Persistence": "aqi", **predictions}
-    one = df.agg(*[c for i, p in enumerate(sides.values()) for c in _metric_columns(label, p, f"_{i}_")])
+    common = _common_rows(df, [label, *sides.values()])
+    one = common.agg(F.count(F.lit(1)).alias("n"), *[c for i, p in enumerate(sides.values()) for c in _metric_columns(label, p, f"_{i}_")])
     base = F.col("_0_rmse")
     rows = F.array(
         *[
@@ -51,6 +62,7 @@ def compare_predictions(df: DataFrame, predictions: dict[str, str], label: str =
                 F.lit(name).alias("model_name"),
                 *[F.col(f"_{i}_{m}").alias(m) for m in ("rmse", "mae", "r2")],
                 F.coalesce(F.col(f"_{i}_rmse") < base, F.lit(False)).alias("beats_persistence"),
+                F.col("n"),
             )
             for i, name in enumerate(sides)
         ]

@@ -34,12 +34,22 @@ def _parsed(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("_v", F.try_parse_json("payload"))
 
 
-def parse_aqicn_current(payloads: DataFrame) -> DataFrame:
-    """Air readings of payloads with status `ok`."""
+def _succeeded(v: Column) -> Column:
+    return F.coalesce(_get(v, "$.status", "string") == "ok", F.lit(False))
+
+
+def parse_aqicn_current(payloads: DataFrame, keep_failed: bool = False) -> DataFrame:
+    """Air readings of payloads with status `ok`; with `keep_failed` the others stay as rows without measures.
+
+    The status is tested on the parsed fields, behind a generator that no filter passes, so that a text is parsed once.
+    """
     v = F.col("_v")
-    good = _parsed(payloads).filter(_get(v, "$.status", "string") == "ok")
-    pollutants = [_number(v, f"$.data.iaqi.{c}.v").alias(c) for c in POLLUTANTS]
-    return good.select("fetched_at", "city", _number(v, "$.data.aqi").alias("aqi"), *pollutants)
+    measures = {"aqi": "$.data.aqi", **{c: f"$.data.iaqi.{c}.v" for c in POLLUTANTS}}
+    found = F.array(F.struct(_succeeded(v).alias("_ok"), *[_number(v, path).alias(c) for c, path in measures.items()]))
+    rows = _parsed(payloads).select("fetched_at", "city", F.inline(found))
+    if keep_failed:
+        return rows.select("fetched_at", "city", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in measures])
+    return rows.filter("_ok").drop("_ok")
 
 
 def parse_openweather_current(payloads: DataFrame) -> DataFrame:
@@ -53,8 +63,7 @@ def parse_aqicn_history(payloads: DataFrame) -> DataFrame:
     v, item = F.col("_v"), F.col("_item")
     lists = [_get(v, f"$.data.{name}", "array<variant>") for name in HISTORY_LISTS]
     first = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
-    good = _parsed(payloads).filter(_get(v, "$.status", "string") == "ok")
-    items = good.select("city", F.explode(first).alias("_item"))
+    items = _parsed(payloads).select("city", F.explode(F.when(_succeeded(v), first)).alias("_item"))
     times = [_get(item, f"$.{name}", "string") for name in ("time", "timestamp")]
     written = F.coalesce(*[F.when(t != "", t) for t in times])
     rows = items.select(written.alias("fetched_at"), "city", *[_number(item, f"$.{c}").alias(c) for c in MEASURES])
