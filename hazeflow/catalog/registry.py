@@ -28,6 +28,7 @@ def _load() -> None:
     from hazeflow.catalog import (  # noqa: F401
         audit_queries,
         feature_queries,
+        job_queries,
         model_queries,
         scalar_queries,
         source_queries,

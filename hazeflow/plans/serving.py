@@ -32,5 +32,10 @@ def current_state(recent: DataFrame) -> DataFrame:
 
 
 def explain_latest(model, matrix: Matrix, recent: DataFrame) -> DataFrame:
+    """city, feature, importance: effects on the latest prediction of a linear model, a forest's importances otherwise."""
+    if not hasattr(model, "coefficients"):
+        weights = zip(matrix.names, model.featureImportances.toArray())
+        effects = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(w)).alias("importance")) for c, w in weights])
+        return recent.select("city").distinct().select("city", F.inline(effects)).orderBy("city", F.desc("importance"), "feature")
     filled = apply_imputer(recent.select("city", "fetched_at", *matrix.names), matrix.medians)
     return linear_attribution(filled, model_weights(model, matrix.names))
