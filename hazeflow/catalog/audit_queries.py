@@ -14,7 +14,7 @@ _NUMERIC = numeric_columns(FEATURE_SCHEMA)
 
 
 def _features(spark, sf_dir):
-    return build_features(readings(spark, sf_dir), unique=True)
+    return build_features(readings_raw(spark, sf_dir), unique=True)
 
 
 def _rows(template: str, columns, table: str) -> str:
@@ -206,7 +206,7 @@ def a9_choose_season_axis(spark, sf_dir):
 
 @query(
     "a9_seasonal_profile",
-    with_sql(select="SELECT floor(aqi / 50) * 50.0::DOUBLE AS bin_start, count(*) AS n FROM readings WHERE aqi IS NOT NULL GROUP BY 1"),
+    with_sql(select="SELECT floor(aqi / 50) * 50.0::DOUBLE AS bin_start, count(*) AS n FROM readings_raw WHERE aqi IS NOT NULL GROUP BY 1"),
 )
 def a9_seasonal_profile(spark, sf_dir):
     """One month of data, so the histogram is chosen."""

@@ -22,7 +22,7 @@ from hazeflow.schemas import FEATURE_COLUMNS
 _ALL = ", ".join(FEATURE_COLUMNS)
 
 
-@query("p2_build_features", with_sql(features_sql(), select=f"SELECT {_ALL} FROM features"))
+@query("p2_build_features", with_sql(features_sql("readings"), select=f"SELECT {_ALL} FROM features"))
 def p2_build_features(spark, sf_dir):
     return build_features(readings(spark, sf_dir), unique=True)
 
@@ -90,7 +90,7 @@ _rate_query("w4_change_rate_24h", L.PAST_24H, "aqi_change_rate_24h", "24 HOUR",
     ),
 )
 def w12_derived_overlay(spark, sf_dir):
-    return L.derived_overlay(readings(spark, sf_dir), unique=True)
+    return L.derived_overlay(readings_raw(spark, sf_dir), unique=True)
 
 
 @query("w1_w4_narrow_buckets", with_sql(features_sql("readings_raw"), select=f"SELECT {_ALL} FROM features"))

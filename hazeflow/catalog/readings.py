@@ -132,7 +132,7 @@ def rate_sql(past: str) -> str:
     return f"CASE WHEN {past} > 0 THEN printf('%.4f', (r.aqi - {past}) / {past})::DOUBLE END"
 
 
-def features_sql(table: str = "readings", name: str = "features") -> str:
+def features_sql(table: str = "readings_raw", name: str = "features") -> str:
     """CTEs that end in the 25-column feature table of `table`."""
     return f"""{asof_sql(table, "1 HOUR", "30 MINUTE", name + "_1h")},
 {asof_sql(table, "24 HOUR", "2 HOUR", name + "_24h")},

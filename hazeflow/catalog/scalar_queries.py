@@ -172,11 +172,11 @@ def sc11_abs_error(spark, sf_dir):
     "sc12_exceeds",
     with_sql(
         select="SELECT city, count(*) FILTER (aqi > 150) AS above_150, count(*) FILTER (aqi > 200) AS above_200,"
-        " count(*) FILTER (aqi > 300) AS above_300 FROM readings GROUP BY city"
+        " count(*) FILTER (aqi > 300) AS above_300 FROM readings_raw GROUP BY city"
     ),
 )
 def sc12_exceeds(spark, sf_dir):
-    return exceedance_hours(readings(spark, sf_dir))
+    return exceedance_hours(readings_raw(spark, sf_dir))
 
 
 _BLANK = [c for c in FEATURE_COLUMNS if c not in ("fetched_at", "city", "aqi", "pm25", "pm10", "o3", "no2", "so2", "co", "temperature", "humidity", "wind_speed", "pressure")]
@@ -205,7 +205,7 @@ _MATRIX = [c for c in FEATURE_COLUMNS if c not in ("fetched_at", "city", "season
 
 @query("p4_model_matrix", with_sql(features_sql(), select=f"SELECT {', '.join(_MATRIX)} FROM features"))
 def p4_model_matrix(spark, sf_dir):
-    return P.model_matrix(build_features(readings(spark, sf_dir), unique=True))
+    return P.model_matrix(build_features(readings_raw(spark, sf_dir), unique=True))
 
 
 @query("p5_drop_leaky", with_sql(select="SELECT * FROM readings_raw"))

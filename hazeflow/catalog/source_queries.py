@@ -163,7 +163,7 @@ def p2_backfill(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return build_features(readings(spark, sf_dir), unique=True)
+    return build_features(readings_raw(spark, sf_dir), unique=True)
 
 
 _FEATURES_SQL = with_sql(features_sql(), select=f"SELECT {_ALL} FROM features")
@@ -194,13 +194,13 @@ def sk1_write_snapshot_csv(spark, sf_dir):
 @query(
     "sk2_upsert_features",
     with_sql(
-        select="SELECT fetched_at, city, CASE WHEN fetched_at >= TIMESTAMP '2024-01-15' THEN aqi + 1 ELSE aqi END AS aqi, pm25 FROM readings"
+        select="SELECT fetched_at, city, CASE WHEN fetched_at >= TIMESTAMP '2024-01-15' THEN aqi + 1 ELSE aqi END AS aqi, pm25 FROM readings_raw"
     ),
 )
 def sk2_upsert_features(spark, sf_dir):
     """The first 20 days, then corrected rows from day 15 on, then the same again."""
     path = scratch_path(spark, "features")
-    rows = readings(spark, sf_dir)
+    rows = readings_raw(spark, sf_dir)
     later = rows.filter("fetched_at >= TIMESTAMP '2024-01-15'").withColumn("aqi", F.col("aqi") + 1)
     store.upsert_features(rows.filter("fetched_at < TIMESTAMP '2024-01-21'"), path)
     store.upsert_features(later, path)
@@ -235,7 +235,7 @@ def sk4_upsert_prediction_log(spark, sf_dir):
     return store.prediction_log(spark, path).read().drop("day").withColumn("predicted_aqi", F.round("predicted_aqi", 6))
 
 
-@query("sk5_write_metrics", with_sql(features_sql(), TQ._LABELLED, TQ._COMPARISON, select="SELECT * FROM comparison"))
+@query("sk5_write_metrics", with_sql(features_sql(), TQ._LABELLED, TQ._COMPARISON, select="SELECT * EXCLUDE (n) FROM comparison"))
 def sk5_write_metrics(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     tables.write_metrics(TQ._comparison(spark, sf_dir), path)
@@ -254,7 +254,7 @@ def _run_stream(spark, landings, recompute_late=False):
 @query("st1_stream_features", _FEATURES_SQL)
 def st1_stream_features(spark, sf_dir):
     """Three deliveries in time order give what one batch run gives."""
-    rows = readings(spark, sf_dir)
+    rows = readings_raw(spark, sf_dir)
     cuts = ["2024-01-01", "2024-01-11", "2024-01-21 05:00:00", "2024-03-01"]
     parts = [rows.filter(f"fetched_at >= TIMESTAMP '{a}' AND fetched_at < TIMESTAMP '{b}'") for a, b in zip(cuts, cuts[1:])]
     return _run_stream(spark, parts)
@@ -263,6 +263,6 @@ def st1_stream_features(spark, sf_dir):
 @query("st2_recompute_late", _FEATURES_SQL)
 def st2_recompute_late(spark, sf_dir):
     """Rows of some hours arrive late and twice; affected rows are recomputed."""
-    rows = readings(spark, sf_dir)
+    rows = readings_raw(spark, sf_dir)
     late = F.col("so2") % 4 == 1
     return _run_stream(spark, [rows.filter(~late), rows.filter(late), rows.filter(late)], recompute_late=True)

@@ -27,7 +27,7 @@ _TO_PARTS = (features_sql(), _LABELLED, _SPLIT)
 
 
 def labelled(spark, sf_dir):
-    return labels.forecast_target(build_features(readings(spark, sf_dir), unique=True))
+    return labels.forecast_target(build_features(readings_raw(spark, sf_dir), unique=True))
 
 
 def parts(spark, sf_dir):
@@ -358,6 +358,6 @@ def m6_select_best(spark, sf_dir):
     ),
 )
 def o5_top_features(spark, sf_dir):
-    rows = build_features(readings(spark, sf_dir), unique=True).select(*MEASURES)
+    rows = build_features(readings_raw(spark, sf_dir), unique=True).select(*MEASURES)
     impact = top_correlated(rows, len(MEASURES)).select("feature", F.col("magnitude").alias("importance"))
     return _round(metrics.top_features(impact, 10), "importance")
