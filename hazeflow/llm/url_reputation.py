@@ -89,13 +89,17 @@ def _strength(level: DataFrame) -> float:
     return min(max(1 / r - 1, MIN_PRIOR), MAX_PRIOR) if r > 0 else MAX_PRIOR
 
 
-def _shrunk(level: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Adds the parent's rate as `prior`, and the posterior's parameters and mean as `a`, `b`, `rate`."""
-    priors = parent.select(F.col(key).alias("parent"), F.col("rate").alias("prior"))
-    joined = level.join(priors, F.col(key) == F.col("parent")).drop("parent")
-    worth = F.lit(_strength(joined))
+def _shrunk(level: DataFrame) -> DataFrame:
+    """Adds the posterior's parameters and mean as `a`, `b`, `rate` to (n, good, prior)."""
+    worth = F.lit(_strength(level))
     good, bad = F.col("good") + worth * F.col("prior"), F.col("n") - F.col("good") + worth * (1 - F.col("prior"))
-    return joined.withColumns({"a": good, "b": bad, "rate": good / (good + bad)})
+    return level.withColumns({"a": good, "b": bad, "rate": good / (good + bad)})
+
+
+def _under(level: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """The level with its parent's rate as `prior`."""
+    priors = parent.select(F.col(key).alias("parent"), F.col("rate").alias("prior"))
+    return level.join(priors, F.col(key) == F.col("parent")).drop("parent")
 
 
 def upper_bound(a: Column, b: Column, z: float = Z) -> Column:
@@ -114,11 +118,9 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     hosts = outcomes.filter("host is not null").groupBy("host").agg(*sums)
     hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = materialize(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
-    n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
-    overall = hosts.sparkSession.range(1).select(F.lit(1).alias("all"), F.lit(good / n if n else 0.5).alias("rate"))
-    suffixes = _shrunk(suffixes, overall, "all")
-    shrunk = _shrunk(hosts, _shrunk(domains, suffixes, "suffix"), "domain")
+    n, good = domains.agg(F.sum("n"), F.sum("good")).first()
+    suffixes = materialize(domains.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(good / n if n else 0.5)), "suffixes")
+    shrunk = _shrunk(_under(hosts, _shrunk(_under(domains, _shrunk(suffixes), "suffix")), "domain"))
     return shrunk.select("host", "n", "good", "rate", upper_bound(F.col("a"), F.col("b"), z).alias("upper"))
 
 
