@@ -61,7 +61,7 @@ def op7_attention_quality_classifier(spark, sf_dir):
     return mil_quality.scored(docs, mil_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op6_distribution_divergence")
+@query("op6_distribution_divergence", twins.DIVERGENCE)
 def op6_distribution_divergence(spark, sf_dir):
     return divergence.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 

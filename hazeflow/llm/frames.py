@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -26,6 +26,7 @@ def col(name: str):
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive slices of about `limit` bytes, so that work on a batch takes bounded memory."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed blocks back, which a worker's next task may need
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin = held = 0
     for i, size in enumerate(sizes):

@@ -226,9 +226,12 @@ def repeated_passages(
     ordered = anchors.repartitionByRange(parts, "gram", "doc", "place").sortWithinPartitions("gram", "doc", "place")
     shared = materialize(ordered.mapInArrow(_shared, anchors.schema).distinct(), "shared")
     discard(anchors)
-    firsts = shared.groupBy("around").agg(F.min("doc").alias("first")).select(F.col("around").alias("a"), "first")
-    # copies with all their surroundings, and the others' windows
-    marked = materialize(shared.join(firsts, F.col("around") == F.col("a")).select("doc", "place", "first"), "marked")
+    # copies with all their surroundings, and the others' windows; written tables, one row per key, so that the join
+    # can split the rows of a surrounding that very many documents have
+    firsts = shared.groupBy("around").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    firsts = materialize(firsts.select(F.col("around").alias("a"), "first"), "firsts")
+    joined = shared.join(firsts, F.col("around") == F.col("a"), "left")
+    marked = materialize(joined.select("doc", "place", F.coalesce("first", "doc").alias("first")), "marked")
     discard(shared)
     open_places = marked.filter(F.col("doc") == F.col("first"))
     tx = F.col("place").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1).cast("long"))
@@ -238,7 +241,7 @@ def repeated_passages(
     contexts = texts.join(places, ["doc", "tx"]).select("doc", "tx", "text", "places")
     windows = materialize(contexts.mapInArrow(_window_rows(min_words), "window bigint, doc bigint, place bigint"), "windows")
     earliest = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    earliest = earliest.select(F.col("window").alias("w"), "first")
+    earliest = materialize(earliest.select(F.col("window").alias("w"), "first"), "earliest")
     single = windows.join(earliest, F.col("window") == F.col("w")).select("doc", "place", "first")
     copies = marked.unionByName(single).filter(F.col("doc") > F.col("first"))
     begin, n = F.shiftright("place", 32), F.shiftright("place", _TEXT_BITS).bitwiseAND(F.lit(255).cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hazeflow.llm import divergence as D
 from hazeflow.llm import url_reputation as U
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,3 +71,65 @@ SELECT conv_id, count(*) AS n_turns,
        sum(24 + {_CHARS.format("role")} + {_CHARS.format("text")})::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+def _part(x: str, y: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+
+
+def _term(p: str, q: str) -> str:
+    return f"{_part(p, q)} + {_part(q, p)}"
+
+
+_CLASS_NAMES = [*D.NOT_IN_CLASS, "beyond", "other"]
+_OUTSIDE = ",\n         ".join(f"len(regexp_replace(text, '{out.replace(chr(39), chr(39) * 2)}', '', 'g')) AS {name}" for name, out in D.NOT_IN_CLASS.items())
+_NAMED = " + ".join(D.NOT_IN_CLASS)
+
+DIVERGENCE = f"""
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+docs AS (
+  SELECT *, [w FOR w IN string_split_regex(text, '{D.SPACE}') IF w <> ''] AS words, strlen(text) AS bytes,
+         {_OUTSIDE}
+  FROM texts),
+tokens AS (SELECT doc_id, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times
+  FROM (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE c IS NOT NULL),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, (VALUES (0), (1), (2)) steps(k) WHERE times > 1 GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{D.NOT_SPACE}') GROUP BY doc_id),
+counts AS (SELECT lang, w, count(*) AS n FROM tokens GROUP BY lang, w),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+common AS (
+  SELECT lang, w, n / total AS q FROM counts JOIN totals USING (lang)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {D.COMMON_WORDS}),
+other_words AS (SELECT lang, 1 - sum(q) AS q FROM common GROUP BY lang),
+own AS (SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY doc_id, w),
+spoken AS (
+  SELECT doc_id, lang, sum({_term("p", "q")}) AS terms, greatest(1 - sum(p), 0) AS p
+  FROM (SELECT d.doc_id, d.lang, c.q, coalesce(o.n, 0) / len(d.words) AS p
+        FROM docs d JOIN common c ON d.lang = c.lang LEFT JOIN own o ON o.doc_id = d.doc_id AND o.w = c.w
+        WHERE len(d.words) >= {D.MIN_WORDS})
+  GROUP BY doc_id, lang),
+word_distances AS (
+  SELECT doc_id, sqrt(greatest((terms + {_term("s.p", "r.q")}) / 2, 0)) AS word_distance FROM spoken s JOIN other_words r USING (lang)),
+shares AS (
+  SELECT doc_id, lang, {", ".join(f"{c} / bytes AS {c}" for c in D.NOT_IN_CLASS)},
+         (bytes - len(text)) / bytes AS beyond, (len(text) - ({_NAMED})) / bytes AS other
+  FROM docs WHERE len(text) >= {D.MIN_CHARS}),
+typical AS (SELECT lang, {", ".join(f"avg({c}) AS {c}" for c in _CLASS_NAMES)} FROM shares GROUP BY lang),
+class_distances AS (
+  SELECT doc_id, sqrt(greatest(({" + ".join(_term(f"s.{c}", f"t.{c}") for c in _CLASS_NAMES)}) / 2, 0)) AS class_distance
+  FROM shares s JOIN typical t USING (lang)),
+base AS (
+  SELECT doc_id, len(words) AS n_words, len(text) - space AS word_chars, symbol AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+failed AS (SELECT *, n_words < {D.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT failed.*, NOT base_failed AND coalesce(class_distance, 0) <= {D.MAX_CLASS_DISTANCE}
+       AND coalesce(word_distance, 0) <= {D.MAX_WORD_DISTANCE} AS kept
+FROM failed LEFT JOIN class_distances USING (doc_id) LEFT JOIN word_distances USING (doc_id)
+"""
