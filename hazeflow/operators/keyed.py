@@ -10,14 +10,14 @@ from hazeflow.schemas import KEYS
 def keep_last(df: DataFrame, keys: list[str] = KEYS, order: list[str] | None = None) -> DataFrame:
     """One row per key, the one with the greatest `order` (ties by the other columns).
 
-    Aggregated map-side first, so a key with many copies shrinks before the shuffle.
+    Spark keeps one row per key of each input partition, so a key with many copies shrinks before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
     rank = F.struct(*[F.col(c) for c in order or []], *[F.col(c) for c in rest if c not in (order or [])])
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+    best = Window.partitionBy(*keys).orderBy(rank.desc())
+    return df.withColumn("_rank_in_key", F.row_number().over(best)).filter("_rank_in_key = 1").drop("_rank_in_key")
 
 
 def append(existing: DataFrame, new: DataFrame, order: str = "_seq") -> DataFrame:
