@@ -182,13 +182,13 @@ def remainder(id_col: Column, folds: int = FOLDS) -> Column:
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0
-        for part in slices(batch.column(1)):
+        for part in slices(batch.column("text")):
             x, bags = encode_passages(part)
             ends = np.cumsum(bags)
             vectors = [x[e - n : e].tobytes() for n, e in zip(bags, ends)]
-            labels = batch.column(0).slice(done, len(part))
+            ids, labels = (batch.column(name).slice(done, len(part)) for name in ("id", "label"))
             done += len(part)
-            yield pa.RecordBatch.from_arrays([labels, pa.array(vectors, pa.binary())], names=["label", "vectors"])
+            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(vectors, pa.binary())], names=["id", "label", "vectors"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Model:
@@ -203,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = materialize(present.orderBy(F.xxhash64("labelled"), "labelled").limit(train_docs), "labelled")
     # the picked table is bounded by train_docs, so every task can hold it
     bags = here.join(F.broadcast(picked), F.col("id") == F.col("labelled")).dropDuplicates(["id"])
-    rows = bags.select("label", "text").mapInArrow(_encoded, "label int, vectors binary").collect()
+    named = bags.select(F.col("id").cast("string").alias("id"), "label", "text")
+    rows = named.mapInArrow(_encoded, "id string, label int, vectors binary").collect()
+    rows.sort(key=lambda r: r.id)  # the fit does not depend on how the rows were laid out
     vectors = [np.frombuffer(r.vectors, np.float32).reshape(-1, FEATURES) for r in rows]
     sizes = np.array([len(v) for v in vectors], np.int64)
     return fit_bags(np.concatenate(vectors) if vectors else np.zeros((0, FEATURES)), sizes, np.array([r.label for r in rows], float))
