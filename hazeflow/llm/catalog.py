@@ -36,8 +36,7 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 def token_digests(docs, path=None):
-    tokenizer = tokenizer_json(path)
-    return word_bpe.decode(word_bpe.encode(docs, tokenizer), tokenizer).select(
+    return word_bpe.encode(docs, tokenizer_json(path), decoded=True).select(
         "doc_id",
         word_bpe.n_tokens(F.col("ids")).alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from hazeflow.llm.frames import free_name, slices
 from hazeflow.scratch import scratch_path
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_500_000
 BUCKETS_PER_PARTITION = 4
 DECODED_BYTES = 1 << 18  # of ids, joined at once
 SPECIAL = "<|"  # texts with it are split but not lower-cased: special tokens are told apart by case
@@ -93,12 +93,15 @@ def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def _block_rows(block: int, ids: list[pa.Array], words: list[pa.Array], counts: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """The block's dictionary, a row per bucket, then a row per document."""
-    encoded = pa.concat_arrays(words).dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False)
-    used = np.bincount(codes, minlength=len(encoded.dictionary))
+    encoded = pa.chunked_array(words).dictionary_encode().chunks
+    words.clear()
+    codes = np.concatenate([e.indices.to_numpy(zero_copy_only=False) for e in encoded])
+    dictionary = encoded[-1].dictionary
+    del encoded
+    used = np.bincount(codes, minlength=len(dictionary))
     rank = np.empty(len(used), np.int32)
     rank[np.argsort(-used, kind="stable")] = np.arange(len(used))
-    texts = encoded.dictionary.cast(pa.large_binary()).to_pylist()
+    texts = dictionary.cast(pa.large_binary()).to_pylist()
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in texts), np.int64, len(texts))
     order = np.lexsort((rank, bucket))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -176,31 +179,41 @@ def _encoder(tokenizer_json):
     return run
 
 
-def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Documents of one block with the ids of their words."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    ranks, sizes, ids = [], [], []
-    for r, s, i in zip(words["numbers"], words["sizes"], words["ids"]):
-        ranks.append(np.cumsum(_unpack(np.frombuffer(r.as_py(), np.uint8))))
-        sizes.append(_unpack(np.frombuffer(s.as_py(), np.uint8)))
-        ids.append(_unpack(np.frombuffer(_whole(i.as_py()), np.uint8)).astype(np.uint32))
-    rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
-    size, begin = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    lengths = np.concatenate(sizes) if sizes else rank
-    size[rank], begin[rank] = lengths, np.cumsum(lengths) - lengths
-    out = []
-    for numbers in docs["numbers"]:
-        code = _unpack(np.frombuffer(numbers.as_py(), np.uint8))
-        n = size[code]
-        ends = np.cumsum(n)
-        steps = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-        out.append(flat[np.repeat(begin[code], n) + steps].astype("<u4").tobytes())
-    return pa.table({"id": docs["id"], "ids": pa.array(out, pa.binary())})
-
-
-def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id_col, ids): each row's token ids as little-endian unsigned 32-bit integers.
+def _assembler(table: list[str] | None):
+    """Documents of one block with the ids of their words, and their pieces joined if there is a table of them."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        ranks, sizes, ids = [], [], []
+        for r, s, i in zip(words["numbers"], words["sizes"], words["ids"]):
+            ranks.append(np.cumsum(_unpack(np.frombuffer(r.as_py(), np.uint8))))
+            sizes.append(_unpack(np.frombuffer(s.as_py(), np.uint8)))
+            ids.append(_unpack(np.frombuffer(_whole(i.as_py()), np.uint8)).astype(np.uint32))
+        rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
+        size, begin = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        lengths = np.concatenate(sizes) if sizes else rank
+        size[rank], begin[rank] = lengths, np.cumsum(lengths) - lengths
+        out = []
+        for numbers in docs["numbers"]:
+            code = _unpack(np.frombuffer(numbers.as_py(), np.uint8))
+            n = size[code]
+            ends = np.cumsum(n)
+            steps = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+            out.append(flat[np.repeat(begin[code], n) + steps].astype("<u4").tobytes())
+        columns = {"id": docs["id"], "ids": pa.array(out, pa.binary())}
+        if table is not None:
+            pieces = pa.array(table, pa.large_string())
+            columns["decoded"] = pa.chunked_array([_joined(p, pieces) for p in slices(columns["ids"], DECODED_BYTES)], pa.string())
+        return pa.table(columns)
+
+    return run
+
+
+def encode(
+    docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, decoded: bool = False
+) -> DataFrame:
+    """(id_col, ids): each row's token ids as little-endian unsigned 32-bit integers; with `decoded` also what `decode` gives.
 
     `tokenizer_json` is the content of a tokenizers file whose normaliser and pre-tokeniser drop white
     space and fold case. Null and empty texts have no ids. Rows may repeat and ids may be null: rows are
@@ -219,30 +232,39 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
     told = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
     spelled = told.mapInArrow(_encoder(spark.sparkContext.broadcast(tokenizer_json)), "block bigint, numbers binary, sizes binary, ids binary")
     numbered = stored.filter(F.col("bucket").isNull()).select("block", "numbers", "id")
-    out = numbered.groupBy("block").cogroup(spelled.groupBy("block")).applyInArrow(_assemble, f"id {kind.simpleString()}, ids binary")
-    return out.select(F.col("id").alias(id_col), "ids")
+    table = _pieces(tokenizer_json) if decoded else None
+    shape = f"id {kind.simpleString()}, ids binary" + (", decoded string" if decoded else "")
+    out = numbered.groupBy("block").cogroup(spelled.groupBy("block")).applyInArrow(_assembler(table), shape)
+    return out.withColumnRenamed("id", id_col)
 
 
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
+def _pieces(tokenizer_json: str) -> list[str]:
+    """The tokenizer's pieces by id."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    if tokenizer.decoder is not None:
+        raise ValueError("the tokenizer has a decoder of its own")
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    table: list[str] = [""] * (max(vocabulary.values()) + 1)
+    for piece, number in vocabulary.items():
+        table[number] = piece
+    return table
+
+
 def decode(tokens: DataFrame, tokenizer_json: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """`tokens` with the text `name`: the ids' pieces with a space between, special tokens included.
 
     For tokenizer files without a decoder. The table of pieces has the tokenizer's fixed size, so every task holds
     it and joins ids by position. Null ids give null; `name` must be free.
     """
-    from tokenizers import Tokenizer
-
-    if Tokenizer.from_str(tokenizer_json).decoder is not None:
-        raise ValueError("the tokenizer has a decoder of its own")
     if name != free_name(tokens, name):
         raise ValueError(f"column {name} exists")
-    vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True)
-    table: list[str] = [""] * (max(vocabulary.values()) + 1)
-    for piece, number in vocabulary.items():
-        table[number] = piece
+    table = _pieces(tokenizer_json)
     place = tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
