@@ -12,7 +12,7 @@ Equal fingerprints are one node before any comparison (map-side aggregate), a ti
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,9 +202,13 @@ def near_duplicates(
     stay repeated. An empty table gives an empty result. Other columns are ignored.
     """
     source = docs.select(col(id_col).alias("doc_id"), fingerprint_column(col(text_col), shingle_words).alias("fp"))
-    prints = materialize(source, "fingerprints")
+    return named(materialize(source, "fingerprints"), lambda nodes: fingerprint_links(nodes, radius))
+
+
+def named(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of a stored table (doc_id, fp), with the links between its distinct `fp`."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = materialize(components(fingerprint_links(nodes, radius)), "components")
+    linked = materialize(components(links(nodes)), "components")
     members = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least")
     roots = members.groupBy("root").agg(F.min("least").alias("component"))
     named = members.select("fp", "root").join(roots, "root").select(F.col("fp").alias("linked_fp"), "component")
@@ -224,7 +228,13 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of repeated rows with one id one is kept, the greatest by its columns' values; rows without an id go unless no
     document with an id is reachable.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
+    prints = fingerprint_column(col(text_col), options.get("shingle_words", SHINGLE_WORDS))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), prints, id_col)
+
+
+def keep_first(docs: DataFrame, components: DataFrame, prints: Column, id_col: str = "doc_id") -> DataFrame:
+    """As `keep_one_each`, of the rows of `named`; `prints` gives a document's `fp`."""
+    found = materialize(components, "near-duplicates")
     first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept, again = first.filter("n = 1"), first.filter("n > 1")
     nameless = found.filter(F.col("component_id").isNull())
@@ -239,7 +249,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = flagged.unionByName(one)
     if nameless.limit(1).count():  # texts that only rows without an id have: one row of each fingerprint
         shown = free_name(docs, "shown_fp")
-        bare = docs.filter(col(id_col).isNull()).withColumn(shown, fingerprint_column(col(text_col), options.get("shingle_words", SHINGLE_WORDS)))
+        bare = docs.filter(col(id_col).isNull()).withColumn(shown, prints)
         bare = bare.withColumn(shown, F.lpad(F.lower(F.hex(shown)), 16, "0"))
         bare = bare.join(nameless.select(F.col("fingerprint").alias(key)), F.col(shown) == F.col(key), "left_semi")
         out = out.unionByName(bare.dropDuplicates([shown]).drop(shown))
