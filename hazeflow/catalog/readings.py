@@ -57,6 +57,14 @@ def readings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(_events(spark, sf_dir).withColumnsRenamed({"event_type": "city", "ts": "fetched_at"}))
 
 
+def readings_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event at its whole second, the last one of those that share city and second."""
+    base = _events(spark, sf_dir).groupBy(
+        F.col("event_type").alias("city"), F.date_trunc("SECOND", "ts").alias("fetched_at")
+    )
+    return _measures(base.agg(F.max_by("value", "event_id").alias("value"), F.max_by("k", "event_id").alias("k")))
+
+
 def readings_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event, one sparse series per user."""
     city = F.concat(F.lit("u"), F.col("user_id").cast("string"))
@@ -104,6 +112,12 @@ readings_raw AS ({_MEASURES_SQL.format(aqi=aqi_sql(), base="readings_each")}),
 readings_user AS ({_MEASURES_SQL.format(aqi=aqi_sql(), base="readings_person")})
 """
 
+SECOND_SQL = f"""readings_at_second AS (
+  SELECT event_type AS city, date_trunc('second', ts) AS fetched_at, arg_max(value, event_id) AS value,
+         arg_max({_K_SQL}, event_id) AS k
+  FROM events GROUP BY 1, 2),
+readings_second AS ({_MEASURES_SQL.format(aqi=aqi_sql(), base="readings_at_second")})"""
+
 CALENDAR_SQL = """hour(fetched_at)::INTEGER AS hour, (isodow(fetched_at) - 1)::INTEGER AS day_of_week,
     day(fetched_at)::INTEGER AS day_of_month, month(fetched_at)::INTEGER AS month,
     (CASE WHEN isodow(fetched_at) >= 6 THEN 1 ELSE 0 END)::INTEGER AS is_weekend,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeflow.catalog import training_queries as TQ
-from hazeflow.catalog.readings import aqi_sql, features_sql, readings, readings_raw, with_sql
+from hazeflow.catalog.readings import SECOND_SQL, aqi_sql, features_sql, readings, readings_raw, readings_second, with_sql
 from hazeflow.catalog.registry import query
 from hazeflow.operators import lookups
 from hazeflow.plans.backfill import backfill_features
@@ -69,9 +69,9 @@ def so3_merge_snapshot(spark, sf_dir):
     return lookups.merge_snapshot(air, weather)
 
 
-def _daily(df, item, wrap):
-    """One payload per city and day: at most 24 hourly items each."""
-    listed = df.groupBy("city", F.to_date("fetched_at").alias("_day")).agg(F.collect_list(item).alias("_items"))
+def _daily(df, item, wrap, unit="DAY"):
+    """One payload per city and day (at most 24 hourly items each), or per shorter `unit`."""
+    listed = df.groupBy("city", F.date_trunc(unit, "fetched_at").alias("_day")).agg(F.collect_list(item).alias("_items"))
     return listed.select("city", F.to_json(wrap(F.col("_items"), F.dayofmonth("_day"))).alias("payload"))
 
 
@@ -85,6 +85,10 @@ def _daily(df, item, wrap):
 )
 def so4_parse_aqicn_history(spark, sf_dir):
     """Lists under three names, times under two; items without a time are skipped."""
+    return payloads.parse_aqicn_history(_history_payloads(readings(spark, sf_dir)))
+
+
+def _history_payloads(df, unit="DAY"):
     when = F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = F.struct(
         F.when((F.col("so2") != 7) & (F.col("so2") % 2 == 0), when).alias("time"),
@@ -101,23 +105,37 @@ def so4_parse_aqicn_history(spark, sf_dir):
         )
         return F.struct(F.lit("ok").alias("status"), data.alias("data"))
 
-    return payloads.parse_aqicn_history(_daily(readings(spark, sf_dir), item, wrap))
+    return _daily(df, item, wrap, unit)
+
+
+@query(
+    "so4_parse_aqicn_history_raw",
+    with_sql(
+        SECOND_SQL,
+        select="SELECT strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') || 'Z' AS fetched_at, city, "
+        + ", ".join(MEASURES)
+        + " FROM readings_second WHERE so2 <> 7",
+    ),
+)
+def so4_parse_aqicn_history_raw(spark, sf_dir):
+    """Every event, a payload per city and hour."""
+    return payloads.parse_aqicn_history(_history_payloads(readings_second(spark, sf_dir), "HOUR"))
 
 
 def _listed(items, _day):
     return F.struct(items.alias("list"))
 
 
-def _pollution_payloads(df):
+def _pollution_payloads(df, unit="DAY"):
     dt = F.when(F.col("so2") != 7, F.unix_timestamp("fetched_at"))
     components = F.struct(*[F.col(c).alias("pm2_5" if c == "pm25" else c) for c in POLLUTANTS])
-    return _daily(df, F.struct(dt.alias("dt"), components.alias("components")), _listed)
+    return _daily(df, F.struct(dt.alias("dt"), components.alias("components")), _listed, unit)
 
 
-def _weather_history_payloads(df):
+def _weather_history_payloads(df, unit="DAY"):
     main = F.struct(F.col("temperature").alias("temp"), "humidity", "pressure")
     wind = F.struct(F.col("wind_speed").alias("speed"))
-    return _daily(df, F.struct(F.unix_timestamp("fetched_at").alias("dt"), main.alias("main"), wind.alias("wind")), _listed)
+    return _daily(df, F.struct(F.unix_timestamp("fetched_at").alias("dt"), main.alias("main"), wind.alias("wind")), _listed, unit)
 
 
 _POLLUTION = f"""pollution AS (SELECT fetched_at, city, {aqi_sql("pm25", "printf('%.1f', pm25)::DOUBLE")} AS aqi, pm25, pm10, o3, no2, so2, co
@@ -162,6 +180,52 @@ def p2_backfill(spark, sf_dir):
     return backfill_features(_pollution_payloads(rows), _weather_history_payloads(rows))
 
 
+_POLLUTION_RAW = _POLLUTION.replace("FROM readings", "FROM readings_second")
+
+
+@query("so5_parse_pollution_history_raw", with_sql(SECOND_SQL, _POLLUTION_RAW, select="SELECT *, " + ", ".join(f"NULL::DOUBLE AS {c}" for c in WEATHER) + " FROM pollution"))
+def so5_parse_pollution_history_raw(spark, sf_dir):
+    """Every event, a payload per city and hour."""
+    return payloads.parse_pollution_history(_pollution_payloads(readings_second(spark, sf_dir), "HOUR"))
+
+
+@query("so6_parse_weather_history_raw", with_sql(SECOND_SQL, select="SELECT fetched_at, city, temperature, humidity, wind_speed, pressure FROM readings_second"))
+def so6_parse_weather_history_raw(spark, sf_dir):
+    """Every event, a payload per city and hour."""
+    return payloads.parse_weather_history(_weather_history_payloads(readings_second(spark, sf_dir), "HOUR"))
+
+
+@query(
+    "j1_attach_weather_raw",
+    with_sql(
+        SECOND_SQL,
+        select="SELECT fetched_at, city, aqi, pm25, pm10, o3, no2, so2, co, "
+        + ", ".join(f"CASE WHEN humidity > 45 THEN {c} END AS {c}" for c in WEATHER)
+        + " FROM readings_second",
+    ),
+)
+def j1_attach_weather_raw(spark, sf_dir):
+    """Every event."""
+    rows = readings_second(spark, sf_dir)
+    return lookups.attach_weather(rows, rows.filter("humidity > 45").select("city", "fetched_at", *WEATHER))
+
+
+@query(
+    "p2_backfill_raw",
+    with_sql(
+        SECOND_SQL,
+        _POLLUTION_RAW,
+        f"merged AS (SELECT p.*, {', '.join('w.' + c for c in WEATHER)} FROM pollution p JOIN readings_second w ON p.city = w.city AND p.fetched_at = w.fetched_at)",
+        features_sql("merged"),
+        select=f"SELECT {_ALL} FROM features",
+    ),
+)
+def p2_backfill_raw(spark, sf_dir):
+    """History payloads of every event, a payload per city and hour, to feature rows."""
+    rows = readings_second(spark, sf_dir)
+    return backfill_features(_pollution_payloads(rows, "HOUR"), _weather_history_payloads(rows, "HOUR"))
+
+
 def _features(spark, sf_dir):
     return build_features(readings_raw(spark, sf_dir), unique=True)
 

@@ -43,3 +43,10 @@ def test_models_are_compared_on_all_events(spark, monkeypatch):
     monkeypatch.setattr(M, "train", lambda features: SimpleNamespace(metrics=rows.append(features.count())))
     QUERIES["m5_compare_models"](spark, SF)
     assert rows[0] >= _instants(spark)
+
+
+@pytest.mark.parametrize("name", ["so6_parse_weather_history_raw", "j1_attach_weather_raw"])
+def test_history_queries_keep_every_city_and_second(spark, name):
+    wanted = events(spark, SF).selectExpr("event_type AS city", "date_trunc('SECOND', cast(ts AS timestamp)) AS fetched_at").distinct()
+    got = QUERIES[name](spark, SF).select("city", "fetched_at")
+    assert got.count() == wanted.count() and not got.exceptAll(wanted).count()
