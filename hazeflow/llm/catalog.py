@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, divergence, mil_quality, reply_trees, simhash, suffix_dedup, twins, url_reputation, virtual_slots, warc, word_bpe
+from hazeflow.llm import decontaminate, divergence, mil_quality, reply_trees, simhash, spelling, suffix_dedup, twins, url_reputation, virtual_slots, warc, word_bpe
 from hazeflow.llm.queries import query, table
 from hazeflow.scratch import scratch_path
 
@@ -100,3 +100,8 @@ def op4_reply_trees(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop_every=spelling.DROP_EVERY)
