@@ -133,3 +133,57 @@ SELECT failed.*, NOT base_failed AND coalesce(class_distance, 0) <= {D.MAX_CLASS
        AND coalesce(word_distance, 0) <= {D.MAX_WORD_DISTANCE} AS kept
 FROM failed LEFT JOIN class_distances USING (doc_id) LEFT JOIN word_distances USING (doc_id)
 """
+
+
+def _merkle(levels: int = 8, root_levels: int = 4) -> str:
+    """Trees of up to 8 ** levels rows a language and 8 ** root_levels languages."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def part(value):
+        return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+    heads = " || ".join(part(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda d, z: xor(d >> 1, (d & 1) * 3988292384::UBIGINT))"
+    numbers = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {numbers}), lambda c, b: {bits}), 4294967295::UBIGINT)"
+    steps = [
+        f"""t0 AS (SELECT doc_id, lang, sha256({heads} || {part("text")}) AS leaf,
+            CASE WHEN {crc} % 3 = 0 THEN sha256({heads} || {part(f"translate(text, '{upper}', '{lower}')")}) END AS tampered FROM documents)""",
+        "t1 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM t0)",
+        "l0 AS (SELECT lang, i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM t1)",
+    ]
+
+    def climb(name: str, count: int) -> None:
+        for k in range(count):
+            run = "PARTITION BY lang, i // 8 ORDER BY i ROWS BETWEEN"
+            steps.append(f"""{name}s{k} AS (SELECT *,
+                coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}{k})""")
+            steps.append(f"""{name}{k + 1} AS (SELECT lang, i // 8 AS i,
+                CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d,
+                ((any_value(n) + 7) // 8)::BIGINT AS n FROM {name}{k} GROUP BY lang, i // 8)""")
+
+    climb("l", levels)
+    steps.append(f"r0 AS (SELECT '' AS lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, d, count(*) OVER () AS n, lang AS name FROM l{levels})")
+    climb("r", root_levels)
+    steps.append("f0 AS (SELECT doc_id, lang, i, leaf, coalesce(tampered, leaf) AS f, '' AS proof FROM t1)")
+    at = 0
+    for name, count in (("l", levels), ("r", root_levels)):
+        if name == "r":
+            steps.append(
+                f"""f{at + 1} AS (SELECT f{at}.* REPLACE (r0.i AS i, '' AS lang), r0.d AS subroot
+                FROM f{at} JOIN r0 ON f{at}.lang IS NOT DISTINCT FROM r0.name)"""
+            )
+            at += 1
+        for k in range(count):
+            steps.append(f"""f{at + 1} AS (SELECT a.* REPLACE (a.i // 8 AS i, CASE WHEN s.n > 1 THEN sha256(before || f || after) ELSE f END AS f,
+                proof || before || after AS proof) FROM f{at} AS a JOIN {name}s{k} AS s ON a.lang IS NOT DISTINCT FROM s.lang AND a.i = s.i)""")
+            at += 1
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+        SELECT doc_id, leaf, subroot, (SELECT d FROM r{root_levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+            f = (SELECT d FROM r{root_levels}) AS verified FROM f{at}"""
+    )
+
+
+MERKLE = _merkle()
