@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go_after(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write are dropped when it ends: once the table stands, nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` once and read it back.
 
@@ -27,7 +46,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     plan were evaluated twice (range-partition bounds come from a sample).
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_go_after(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
