@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hazeflow.llm import decontaminate, divergence, merkle, mil_quality, reply_trees, simhash, spelling, suffix_dedup, twins, url_reputation, virtual_slots, warc, word_bpe
+from hazeflow.llm import decontaminate, divergence, merkle, mil_quality, paragraph_sketch, reply_trees, simhash, spelling, suffix_dedup, twins, url_reputation, virtual_slots, warc, word_bpe
 from hazeflow.llm.queries import query, table
 from hazeflow.scratch import scratch_path
 
@@ -111,3 +111,8 @@ def op13_spelling_variants(spark, sf_dir):
 def op11_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(merkle.TAMPER_EVERY)) == 0)
+
+
+@query("op12_paragraph_sketches")
+def op12_paragraph_sketches(spark, sf_dir):
+    return paragraph_sketch.fingerprints(table(spark, sf_dir, "documents"))
