@@ -33,7 +33,7 @@ COARSE_NODES = 1_000_000  # beyond it, tiles are named by eight segment counts i
 HASHED_AT_ONCE = 1 << 16
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """The integer whose bit is set where over half of the hashes have it set."""
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     for begin in range(0, n, HASHED_AT_ONCE):
@@ -57,7 +57,7 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     ends = (begins + sizes)[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = (digest(joined[b:e], SEED) for b, e in zip(begins.tolist(), ends))
-    return _majority(np.fromiter(hashes, np.uint64, len(ends)))
+    return majority(np.fromiter(hashes, np.uint64, len(ends)))
 
 
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:

@@ -3,11 +3,12 @@
 A passage of `min_words` words always holds the same minimiser: the least of its `GRAM`-word hashes.
 Only suffixes that begin at minimisers are retained (about one in eighteen words).
 
-1. The retained suffixes are sorted by their first `GRAM` words, across range partitions, and compared with
-   their neighbours; those that no other document shares go.
+1. The retained suffixes are sorted by their first `GRAM` words and their surroundings, across range partitions, and
+   compared with their neighbours; those that no other document shares go.
 2. What is left is extended to both sides. A suffix whose whole surrounding (all windows of `min_words` words
-   that it is the minimiser of) occurs in an earlier document is a copy at once. The rest is compared window by
-   window, word offset by word offset, with one hash per window.
+   that it is the minimiser of) occurs in an earlier document is a copy at once: equal surroundings are neighbours in the
+   order, so the run's first row names that document, and a run that goes on in the next partition carries it along.
+   The rest is compared window by window, word offset by word offset, with one hash per window.
 
 Sort keys end in the document, so a passage that a third of all documents share is spread over many
 tasks; the other groupings are aggregated map-side, and the joins back have one row per key on one side.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -148,27 +150,71 @@ def _anchor_rows(min_words: int, gram: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes those whose run of equal grams has two documents, or reaches an edge of the partition."""
-    held = None  # the end of the last run while it has one document only
-    open_gram, edge = None, True
+    """Of sorted suffixes those whose run of equal grams has two documents, or reaches an edge of the partition.
+
+    Each gets the first document of its run of equal surroundings as far as this partition shows it; `open` marks the
+    run that the partition begins with. Repeated rows are neighbours, one of each stays.
+    """
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    last = None  # the row before: gram, surrounding, document, place
+    gram_doc, several, first, is_open = None, True, None, True  # of the runs that row belongs to
+    held: list[pa.RecordBatch] = []  # rows of the last run of grams while it has one document only
     for batch in batches:
-        if not batch.num_rows:
+        columns = [batch.column(c).to_numpy() for c in range(4)]
+        if last is None and batch.num_rows:
+            gram_doc, first = columns[2][0], columns[2][0]
+            before = [c[:1] for c in columns]
+        elif batch.num_rows:
+            before = [np.array([v]) for v in last]
+        else:
+            continue
+        shifted = [np.r_[b, c[:-1]] for b, c in zip(before, columns)]
+        keep = (np.stack(columns) != np.stack(shifted)).any(axis=0)
+        keep[0] |= last is None
+        last = [c[-1] for c in columns]
+        gram, around, doc, place = (c[keep] for c in columns)
+        if not len(gram):
             continue
-        whole = batch if held is None else pa.concat_batches([held, batch])
-        gram, doc = whole.column(0).to_numpy(), whole.column(2).to_numpy()
-        lead = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        last = np.r_[lead[1:], len(gram)] - 1
-        several = doc[lead] != doc[last]
-        if edge or gram[0] == open_gram:
-            several[0] = True
-        edge = False
-        run = np.repeat(np.arange(len(lead)), last - lead + 1)
-        keep = several[run]
-        open_gram, held = (gram[-1], None) if several[-1] else (None, whole.slice(lead[-1]))
-        keep[lead[-1] :] = several[-1]
-        yield whole.filter(pa.array(keep))
-    if held is not None:
-        yield held
+        new_gram = gram != shifted[0][keep]
+        new_run = new_gram | (around != shifted[1][keep])
+        # the document each run begins with; rows before the batch's first new run belong to the run carried in
+        run, gram_run = np.cumsum(new_run), np.cumsum(new_gram)
+        firsts, gram_docs = np.r_[first, doc[new_run]], np.r_[gram_doc, doc[new_gram]]
+        opened = np.r_[is_open, np.zeros(new_run.sum(), bool)]
+        mixed = np.zeros(len(gram_docs), bool)
+        mixed[0] = several
+        np.logical_or.at(mixed, gram_run, doc != gram_docs[gram_run])
+        rows = pa.RecordBatch.from_arrays(
+            [*(pa.array(c) for c in (gram, around, doc, place, firsts[run])), pa.array(np.full(len(gram), part, np.int32)), pa.array(opened[run])],
+            names=["gram", "around", "doc", "place", "first", "part", "open"],
+        )
+        ends = len(mixed) - 1  # the run that may go on in the next batch
+        if held and mixed[0]:
+            yield from held
+        if ends or mixed[0]:
+            held = []
+        sent = mixed[gram_run] & ((gram_run != ends) | mixed[ends])
+        yield rows.filter(pa.array(sent))
+        if not mixed[ends]:
+            held.append(rows.filter(pa.array(gram_run == ends)))
+        first, gram_doc, is_open, several = firsts[-1], gram_docs[-1], bool(opened[-1]), bool(mixed[ends])
+    yield from held
+
+
+def _first_documents(shared: DataFrame) -> Column:
+    """The first document of each row's run over all partitions; one row per partition comes to the driver."""
+    key = F.struct("gram", "around")
+    edges = shared.groupBy("part").agg(F.min(key).alias("head"), F.max(key).alias("tail"), F.max_by("first", key).alias("first")).orderBy("part").collect()
+    carried: dict[int, int] = {}
+    for before, here in zip(edges[:-1], edges[1:]):
+        if here["head"] == before["tail"]:
+            whole = before["head"] == before["tail"] and before["part"] in carried  # the run fills that partition
+            carried[here["part"]] = carried[before["part"]] if whole else before["first"]
+    if not carried:
+        return F.col("first")
+    table = F.array(*[F.lit(carried.get(p)).cast("long") for p in range(max(carried) + 1)])
+    return F.when(F.col("open"), F.coalesce(F.get(table, F.col("part")), F.col("first"))).otherwise(F.col("first"))
 
 
 def _window_rows(min_words: int):
@@ -212,7 +258,7 @@ def repeated_passages(
 
     Words are runs without ASCII white space, compared as they are. A window of `min_words` words is a copy if
     a document with a smaller id has it; a document's copies that overlap or touch are one passage, and
-    `source_doc_ids` are the smallest ids that have its windows, in order. The first document keeps its
+    `source_doc_ids` are smaller ids that have its windows, in order (the smallest of equal surroundings). The first document keeps its
     text, and repeats inside one document are left alone. Null ids take no part; null, empty and shorter texts
     have no windows. Rows of one id are told apart by `version` (a hash of the text), and repeated rows count once.
     Ids are integers. An empty table gives none; other columns are ignored. `min_words - gram` is below 255.
@@ -223,16 +269,13 @@ def repeated_passages(
     source = source.filter("doc is not null and text is not null")
     anchors = materialize(source.mapInArrow(_anchor_rows(min_words, gram), "gram bigint, around bigint, doc bigint, place bigint"), "anchors")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = anchors.repartitionByRange(parts, "gram", "doc", "place").sortWithinPartitions("gram", "doc", "place")
-    shared = materialize(ordered.mapInArrow(_shared, anchors.schema).distinct(), "shared")
+    keys = ["gram", "around", "doc", "place"]
+    ordered = anchors.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    told = "gram bigint, around bigint, doc bigint, place bigint, first bigint, part int, open boolean"
+    shared = materialize(ordered.mapInArrow(_shared, told), "shared")
     discard(anchors)
-    # copies with all their surroundings, and the others' windows; written tables, one row per key, so that the join
-    # can split the rows of a surrounding that very many documents have
-    firsts = shared.groupBy("around").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    firsts = materialize(firsts.select(F.col("around").alias("a"), "first"), "firsts")
-    joined = shared.join(firsts, F.col("around") == F.col("a"), "left")
-    marked = materialize(joined.select("doc", "place", F.coalesce("first", "doc").alias("first")), "marked")
-    discard(shared)
+    # copies with all their surroundings, and the others' windows
+    marked = shared.select("doc", "place", _first_documents(shared).alias("first"))
     open_places = marked.filter(F.col("doc") == F.col("first"))
     tx = F.col("place").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1).cast("long"))
     places = open_places.groupBy("doc", tx.alias("tx")).agg(F.collect_list("place").alias("places"))

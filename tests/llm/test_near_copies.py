@@ -56,9 +56,11 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("small,common", [(64, 500_000), (2, 500_000), (2, 0)])
-def test_groups_equal_brute_force(docs_of, monkeypatch, small, common):
-    """Also with large buckets, and in an order that leaves common shingles where they are."""
+@pytest.mark.parametrize("small,common,block", [(64, 500_000, 1 << 20), (2, 500_000, 1 << 20), (2, 0, 1 << 20), (2, 0, 100)])
+def test_groups_equal_brute_force(docs_of, monkeypatch, small, common, block):
+    """Also with large buckets, cut into blocks, and in an order that leaves common shingles where they are."""
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
     monkeypatch.setattr(near_copies, "SMALL", small)
     monkeypatch.setattr(near_copies, "COMMON", common)
     rows = corpus()

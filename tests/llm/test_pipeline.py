@@ -3,7 +3,7 @@
 import corpus_pipeline
 from conftest_llm import SF, needs_tables, words
 from test_decontaminate import plain as plain_passages
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_groups
 from test_suffix_dedup import plain as plain_repeats
 from test_word_bpe import plain as plain_tokens, told
 
@@ -30,8 +30,7 @@ def test_stages_equal_brute_force(spark, folder):
     assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t in before.items() if i in good}
 
     before, after = texts[1]
-    ids = list(before)
-    kept = set(plain_components([plain_fingerprint(before[i]) for i in ids], ids))
+    kept = set(plain_groups(list(before.items())))
     assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t in before.items() if i in kept}
 
     before, after = texts[2]

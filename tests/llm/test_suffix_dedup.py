@@ -83,10 +83,24 @@ def test_runs_that_span_batches():
     """A run of equal grams is kept whole once it has two documents, wherever batches end."""
     import pyarrow as pa
 
-    rows = [(1, 0, 7, 0), (2, 0, 1, 0), (2, 0, 1, 1), (2, 0, 1, 2), (2, 0, 5, 0), (3, 0, 4, 0), (3, 0, 4, 1), (4, 0, 1, 0), (4, 0, 2, 0), (5, 0, 9, 0)]
+    rows = [(1, 0, 7, 0), (2, 0, 1, 0), (2, 0, 1, 1), (2, 0, 1, 1), (2, 3, 5, 0), (2, 3, 6, 0), (3, 0, 4, 0), (3, 0, 4, 1), (4, 0, 1, 0), (4, 0, 2, 0), (5, 0, 9, 0)]
     names = ["gram", "around", "doc", "place"]
-    for size in (1, 2, 3, 10):
+    for size in (1, 2, 3, 11):
         batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
         kept = [tuple(r.values()) for b in suffix_dedup._shared(iter(batches)) for r in b.to_pylist()]
-        # the first and the last run may go on in the neighbouring partitions
-        assert kept == [r for r in rows if r[0] != 3]
+        # the first and the last run may go on in the neighbouring partitions; repeated rows are one
+        assert [r[:4] for r in kept] == [r for k, r in enumerate(rows) if r[0] != 3 and k != 3]
+        assert [r[4] for r in kept] == [7, 1, 1, 5, 5, 1, 1, 9] and [r[6] for r in kept] == [True] + [False] * 7
+
+
+def test_runs_that_span_partitions(spark, docs_of):
+    """A passage that most documents share fills several range partitions; all know its first document."""
+    passage = " ".join(f"w{i}" for i in range(150))
+    rows = [(i, f"{passage} own {i}" if i % 5 else f"other {i}") for i in range(1, 400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = suffix_dedup.repeated_passages(docs_of(rows, 8))
+        got = covered(found)
+        assert got == plain(rows, 50) and all(r.source_doc_ids[0] == 1 for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
