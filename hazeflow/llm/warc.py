@@ -35,8 +35,9 @@ RECORD = (
 )
 
 
-def _name(kind: str, page, url, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, repr((kind, page, url, digest)))}>"
+def _name(kind: str, page, url, digest: str, copy: int = 0) -> str:
+    """Identifier of a record; `copy` tells equal pages apart."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, repr((kind, page, url, digest, *([copy] if copy else []))))}>"
 
 
 def _record(fields: list[tuple[str, str | None]], block: str) -> str:
@@ -45,13 +46,13 @@ def _record(fields: list[tuple[str, str | None]], block: str) -> str:
     return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {size}"]) + BREAK + block
 
 
-def _transaction(page, url, html, keeper: dict | None) -> str:
+def _transaction(page, url, html, keeper: dict | None, copy: int = 0) -> str:
     payload = html or ""
     data = payload.encode()
     digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
-    visited = keeper is not None and len(data) >= MIN_PAYLOAD and (page, url) != (keeper["page"], keeper["url"])
+    visited = keeper is not None and len(data) >= MIN_PAYLOAD and (page, url, copy) != (keeper["page"], keeper["url"], 0)
     uri = None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=-._~|^`{}\\\"<>")
-    ids = {kind: _name(kind, page, url, digest) for kind in ("response", "request", "metadata")}
+    ids = {kind: _name(kind, page, url, digest, copy) for kind in ("response", "request", "metadata")}
     shared = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}{BREAK}"
     response = [("WARC-Type", "revisit" if visited else "response"), ("WARC-Record-ID", ids["response"]), *shared]
@@ -77,7 +78,7 @@ def _transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             rows = batch.slice(begin, 1000).to_pylist()
-            made = [_transaction(r["page"], r["url"], r["html"], r["keeper"]) for r in rows]
+            made = [_transaction(r["page"], r["url"], r["html"], r["keeper"], r["copy"]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
 
 
@@ -85,15 +86,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write a transaction per page as gzip archives under `path`.
 
     Of pages with equal payloads the one with the largest id (ties: the largest url) is the response, the
-    others revisit it. A null html is an empty payload. Payloads are compared by SHA-1, counted map-side.
+    others revisit it. A null html is an empty payload. Payloads are compared by SHA-1, counted map-side. Equal
+    pages are a transaction each; the first is written where its copies meet, the others are numbered.
     """
     slim = pages.select(col(id_col).alias("page"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("html"))
     keyed = slim.withColumn("digest", F.sha1("html"))
-    repeated = keyed.groupBy(F.col("digest").alias("again")).agg(F.max(F.struct("page", "url")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    repeated = materialize(repeated.filter("n > 1").drop("n"), "repeated-payloads")
+    rows = keyed.groupBy(F.col("page").alias("p"), F.col("url").alias("u"), F.col("digest").alias("again")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = rows.groupBy("again").agg(F.max(F.struct(F.col("p").alias("page"), F.col("u").alias("url"))).alias("keeper"), F.sum("n").alias("all"), F.max("n").alias("equal"))
+    repeated = materialize(repeated.filter("all > 1"), "repeated-payloads")
+    keyed = keyed.withColumn("copy", F.lit(0).cast("long"))
+    if repeated.filter("equal > 1").limit(1).count():  # equal pages: one of each, gathered map-side, stands for its copies
+        equal = materialize(rows.filter("n > 1"), "equal-pages")
+        same = F.col("page").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("again"))
+        one = keyed.join(equal, same, "left_semi").dropDuplicates(["page", "url", "digest"]).drop("copy").join(equal, same)
+        one = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        keyed = keyed.join(equal, same, "left_anti").unionByName(one.select(*keyed.columns))
+    repeated = repeated.select("again", "keeper")
     if repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         repeated = F.broadcast(repeated)
-    joined = keyed.join(repeated, F.col("digest") == F.col("again"), "left").select("page", "url", "html", "keeper")
+    joined = keyed.join(repeated, F.col("digest") == F.col("again"), "left").select("page", "url", "html", "keeper", "copy")
     # the separator ends each transaction's last record
     lines = joined.mapInArrow(_transactions, "value string").write.option("lineSep", BREAK).option("compression", "gzip")
     lines.option("maxRecordsPerFile", pages_per_file).text(path)
@@ -156,10 +167,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """(capture, request, response, metadata): one nested row per transaction; a record it lacks is null.
-
-    Transactions written twice (pages equal in id, url and html) are one capture.
-    """
+    """(capture, request, response, metadata): one nested row per transaction; a record it lacks is null."""
 
     def of(kinds: list[str], *fields: str):
         return F.max(F.when(F.col("type").isin(kinds), F.struct(*fields)))
@@ -188,8 +196,9 @@ def page_captures(found: DataFrame, page_type: str = "bigint") -> DataFrame:
 def archived(pages: DataFrame, path: str, id_col: str = "page_id", **columns) -> DataFrame:
     """Write `pages` under `path`, read them back, and give `page_captures`.
 
-    Null ids are kept (as captures without an id; they revisit where the payload has an id). An empty table
-    gives none; other columns are ignored.
+    Null ids are kept (as captures without an id; they revisit where the payload has an id). Of equal pages with the
+    largest id one is the response, its copies revisit it. An archive is held in memory while it is read: with very long
+    payloads pass fewer `pages_per_file` to `write_archives`. An empty table gives none; other columns are ignored.
     """
     write_archives(pages, path, id_col, **columns)
     return page_captures(captures(read_records(pages.sparkSession, path)), pages.schema[id_col].dataType.simpleString())

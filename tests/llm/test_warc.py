@@ -17,11 +17,12 @@ def plain(rows):
     groups = {}
     for i, url, html in rows:
         groups.setdefault(html or "", []).append((i, url))
-    out = []
-    for i, url, html in set(rows):
+    out, seen = [], set()
+    for i, url, html in rows:
         data = (html or "").encode()
         keeper = max(groups[html or ""], key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
-        again = (i, url) != keeper
+        again = (i, url) != keeper or (i, url, html or "") in seen  # one of equal pages is the response
+        seen.add((i, url, html or ""))
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         out.append((i, len(data), digest, "revisit" if again else "response", keeper[0] if again else None))
     return sorted(out, key=str)
@@ -47,6 +48,14 @@ def test_odd_pages(spark, folder, monkeypatch, bound):
     assert told(warc.archived(frame(spark, ODD), folder("w"))) == plain(ODD)
 
 
+def test_every_page_has_its_own_capture(spark, folder):
+    rows = [(1, "a", "x")] * 5 + [(2, "a", "y"), (None, "u", None), (None, "u", None), (None, "u", ""), (3, None, "x"), (3, None, "x")]
+    warc.write_archives(frame(spark, rows), folder("w"))
+    found = warc.captures(warc.read_records(spark, folder("w")))
+    assert found.count() == found.select("capture").distinct().count() == len(rows)
+    assert told(warc.archived(frame(spark, rows), folder("v"))) == plain(rows)
+
+
 def test_empty_table(spark, folder):
     assert warc.archived(frame(spark, ODD).limit(0), folder("w")).count() == 0
 
