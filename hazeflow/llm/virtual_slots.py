@@ -61,9 +61,9 @@ def _dealt(sizes: DataFrame, shards: int, room: Column) -> DataFrame:
 
 
 def first_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(version 0, virtual_slot, shard) with near equal bytes on all shards."""
+    """(version 0, virtual_slot, shard, shards) with near equal bytes on all `shards`."""
     dealt = _dealt(sizes.withColumn("old", F.lit(None).cast("int")), shards, F.lit(0).cast("double"))
-    return dealt.select(F.lit(0).alias("version"), "virtual_slot", "shard")
+    return dealt.select(F.lit(0).alias("version"), "virtual_slot", "shard", F.lit(shards).alias("shards"))
 
 
 def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int, slack: float = 0.0) -> DataFrame:
@@ -73,7 +73,7 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int, slack: float
     room = F.col("total") * (1 + slack) / shards
     dealt = _dealt(joined, shards, room)
     version = last.agg((F.max("version") + 1).alias("version")).first()[0]
-    return dealt.select(F.lit(version).alias("version"), "virtual_slot", "shard")
+    return dealt.select(F.lit(version).alias("version"), "virtual_slot", "shard", F.lit(shards).alias("shards"))
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
@@ -83,10 +83,10 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, the last one by default."""
-    versions = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    versions = spark.read.schema("virtual_slot int, shard int, shards int, version int").parquet(path)
     if version is None:
         version = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == version).select("version", "virtual_slot", "shard")
+    return versions.filter(F.col("version") == version).select("version", "virtual_slot", "shard", "shards")
 
 
 def placed(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -115,7 +115,9 @@ def placed(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """All records of `docs` placed by the map stored under `path`, whose first version is written if there is none yet.
 
-    Other columns of `docs` are ignored.
+    A stored map of another number of slots or shards is refused: rebalance it first. One writer of the first version at a
+    time. Equal rows share a slot, so very many copies of one row make its shard larger than the others. Other columns
+    of `docs` are ignored.
     """
     spark = docs.sparkSession
     rows = records(docs, id_col, text_col, slots)
@@ -123,4 +125,8 @@ def sharded(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         store_map(first_map(sizes, shards), path)
-    return placed(rows, sizes, stored_map(spark, path))
+    last = stored_map(spark, path)
+    held = last.agg(F.count(F.lit(1)), F.max("shards")).first()
+    if tuple(held) != (slots, shards):
+        raise ValueError(f"the stored map has {held[0]} slots on {held[1]} shards, not {slots} on {shards}")
+    return placed(rows, sizes, last)

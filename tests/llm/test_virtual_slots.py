@@ -1,5 +1,9 @@
+import re
+import struct
 import zlib
 
+import pytest
+import xxhash
 from conftest_llm import SF, needs_tables
 
 from hazeflow.llm import queries, virtual_slots as V
@@ -15,6 +19,47 @@ def checked(found, rows, shards):
         assert 0 <= shard < shards and slots == list(range(len(slots)))
 
 
+def plain(rows, shards, slots):
+    """Shard, place in it and virtual slot of each row: hashes, sums and dealing recomputed."""
+
+    def slot_of(i, text):
+        h = 42
+        if i is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+        if text is not None:
+            h = xxhash.xxh64_intdigest(text.encode(), h)
+        return (h - (1 << 64) if h >> 63 else h) % slots
+
+    made = [(slot_of(i, t), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows]
+    sizes = [sum(r[3] for r in made if r[0] == s) for s in range(slots)]
+    loads, shard = [0] * shards, {}
+    for s in sorted(range(slots), key=lambda s: (-sizes[s], s)):
+        shard[s] = loads.index(min(loads))
+        loads[shard[s]] += sizes[s]
+    next_place, out = [0] * shards, []
+    for s, i, crc, size in sorted(made, key=lambda r: (r[0], r[1] is not None, r[1] or 0, *r[2:])):
+        out.append((i, size, crc, shard[s], next_place[shard[s]], s))
+        next_place[shard[s]] += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shards,slots", [(8, 64), (3, 4096)])
+def test_every_row_equals_brute_force(docs_of, folder, shards, slots):
+    rows = [(i, "t" * (i * 37 % 90)) for i in range(300)] + [(None, "a"), (None, None), (5, "x"), (5, "x"), (5, None), (-3, "é" * 500)]
+    df = V.sharded(docs_of(rows), folder("map"), shards, slots=slots)
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    found = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.virtual_slot) for r in df.collect()]
+    assert sorted(found, key=str) == plain(rows, shards, slots)
+
+
+def test_a_map_of_another_shape_is_refused(docs_of, folder):
+    docs = docs_of([(i, "t") for i in range(50)])
+    V.sharded(docs, folder("map"), 4, slots=64)
+    for shards, slots in ((4, 128), (8, 64), (3, 64)):
+        with pytest.raises(ValueError):
+            V.sharded(docs, folder("map"), shards, slots=slots)
+
+
 @needs_tables
 def test_query(spark):
     rows = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
