@@ -31,6 +31,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(digest, 20)), F.bit_xor(digest)).first())
 
 
+def contracted(links: DataFrame, rounds: int) -> DataFrame:
+    """(node, root): a node reachable from each node, the least that a fixed number of steps finds.
+
+    Nodes with one root are connected; connected nodes may still have different roots. Whether a link
+    ends in null, repeats or leads to its own node doesn't matter, as in `components`.
+    """
+    edges = links.select("a", "b").filter("a <> b")
+    for _ in range(rounds):
+        starred = _large_star(edges).filter("a <> b").distinct()
+        edges = materialize(_small_star(starred).filter("a <> b").distinct(), "links")
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")))
+    return both.groupBy("node").agg(F.min("root").alias("root"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node of a link with the least node reachable from it.
 

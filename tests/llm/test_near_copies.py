@@ -60,7 +60,6 @@ def corpus():
 def test_groups_equal_brute_force(docs_of, monkeypatch, small, common, block):
     """Also with large buckets, cut into blocks, and in an order that leaves common shingles where they are."""
     monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", block)
-    monkeypatch.setattr(near_copies, "ROUNDS", 1)
     monkeypatch.setattr(near_copies, "SMALL", small)
     monkeypatch.setattr(near_copies, "COMMON", common)
     rows = corpus()
