@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hazeflow.functions import scalars as S
-from hazeflow.operators.ordering import quantiles, value_counts
+from hazeflow.operators.ranks import column_quantiles
+from hazeflow.scratch import discard, materialize
 from hazeflow.schemas import float_columns, numeric_columns
 
 ATTENTION_PCT = 30.0
@@ -117,30 +118,25 @@ def _one_pass_stats(df: DataFrame, shown: list[str], accuracy: int) -> DataFrame
 
 
 def _exact_stats(df: DataFrame, shown: list[str]) -> DataFrame:
-    """Summary rows from the ordered, counted values of each column."""
-    cells = long_form(df.select(*shown), shown).withColumn("value", S.nan_as_null(F.col("value")))
-    counts = value_counts(cells, ["column_name"], "value")
-    v, n = F.col("value"), F.col("_copies")
-    basic = counts.groupBy("column_name").agg(
-        F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    off = v - F.col("mean")
-    spread = (
-        counts.join(F.broadcast(basic.select("column_name", "mean")), "column_name")  # one row per column
-        .groupBy("column_name")
-        .agg(F.sqrt(F.try_divide(F.sum(n * off * off), F.sum(n) - 1)).alias("std"))
-    )
-    named = df.sparkSession.createDataFrame([(c,) for c in shown], "column_name string")
-    quartiles = quantiles(counts, ["column_name"], "value", QUARTILES)
-    both = named.join(basic, "column_name", "left").join(spread, "column_name", "left").join(quartiles, "column_name", "left")
-    return both.withColumn("count", F.coalesce("count", F.lit(0)))
+    """Summary rows from one aggregate, with quartiles by rank selection."""
+    def basic(c):
+        v = S.nan_as_null(F.col(c).cast("double"))
+        return F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+    slim = materialize(df.select(*shown), "summary-columns")
+    one = slim.agg(*[basic(c).alias(f"_s{i}") for i, c in enumerate(shown)]).first()
+    found = column_quantiles(slim, QUARTILES, {c: s["count"] for c, s in zip(shown, one)})
+    discard(slim)
+    rows = [(c, s["count"], s["mean"], s["std"], s["min"], *(found.get(c, {}).get(name) for name in QUARTILES), s["max"]) for c, s in zip(shown, one)]
+    quartiles = ", ".join(f"{name} double" for name in QUARTILES)
+    return df.sparkSession.createDataFrame(rows, f"column_name string, count long, mean double, std double, min double, {quartiles}, max double")
 
 
 def summary_stats(df: DataFrame, columns: list[str] | None = None, approximate: int | None = None) -> DataFrame:
     """Count, mean, deviation and quartiles of every numeric column, two decimals.
 
-    Quartiles are exact and cost a shuffle of the distinct values; `approximate` names the
-    accuracy of `percentile_approx` instead, which needs one pass and no shuffle of values.
+    Quartiles are exact and cost a few scans of a copy of the columns (`operators/ranks.py`); `approximate`
+    names the accuracy of `percentile_approx` instead, which needs one pass and no copy.
     """
     columns = columns or numeric_columns(df.schema)
     shown = [c for c in SUMMARY_FIRST if c in columns] + [c for c in columns if c not in SUMMARY_FIRST]
