@@ -8,6 +8,7 @@ from hazeflow.catalog.readings import CALENDAR_SQL, aqi_sql, events, features_sq
 from hazeflow.catalog.registry import query
 from hazeflow.functions import projections as P
 from hazeflow.functions import scalars as S
+from hazeflow.operators import lookups
 from hazeflow.operators.stats import exceedance_hours
 from hazeflow.plans.features import build_features
 from hazeflow.schemas import FEATURE_COLUMNS, FEATURE_SCHEMA
@@ -89,6 +90,28 @@ def j5_aqi_breakpoint_lookup(spark, sf_dir):
     return ev.select("event_id", F.round(S.band_lookup(F.col("value"), _BANDS), 6).alias("band_index"))
 
 
+_SUPPLIER_BANDS = """SELECT (s_suppkey - 1) * 2.5::DOUBLE AS low, (s_suppkey - 1) * 2.5::DOUBLE + CASE WHEN s_suppkey % 50 = 0 THEN 100 ELSE 1 + s_suppkey % 3 END AS high,
+  s_nationkey AS index_low, s_nationkey + 10 AS index_high FROM supplier"""
+
+
+@query(
+    "j5_band_table",
+    f"""WITH bands AS ({_SUPPLIER_BANDS}),
+    ranked AS (SELECT event_id, value, b.*, row_number() OVER (PARTITION BY event_id ORDER BY low NULLS LAST, high, index_low) AS place
+      FROM events LEFT JOIN bands b ON value BETWEEN low AND high)
+    SELECT event_id, round((index_high - index_low)::DOUBLE / (high - low) * (value - low) + index_low, 6) AS band_index FROM ranked WHERE place = 1""",
+)
+def j5_band_table(spark, sf_dir):
+    """Every event's place in a table of bands, one for each supplier, with overlaps and gaps."""
+    start = (F.col("s_suppkey") - 1) * 2.5
+    width = F.when(F.col("s_suppkey") % 50 == 0, 100).otherwise(1 + F.col("s_suppkey") % 3)
+    bands = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        start.alias("low"), (start + width).alias("high"), F.col("s_nationkey").alias("index_low"), (F.col("s_nationkey") + 10).alias("index_high")
+    )
+    found = lookups.band_join(events(spark, sf_dir).select("event_id", "value"), "value", bands)
+    return found.select("event_id", F.round("band_index", 6).alias("band_index"))
+
+
 @query(
     "sc5_pm_ratio",
     with_sql(select="SELECT city, fetched_at, CASE WHEN pm10 > 0 THEN printf('%.4f', pm25 / pm10)::DOUBLE END AS pm25_pm10_ratio FROM readings_raw"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from hazeflow.functions import scalars as S
 from hazeflow.operators.keyed import keep_last
 from hazeflow.schemas import KEYS, WEATHER
+from hazeflow.scratch import materialize
 
 # Hours ahead that a forecast covers, and the tolerance for the row behind each.
 HORIZONS = [12, 24, 36, 48, 60, 72]
@@ -60,3 +63,50 @@ def forecast_horizons(scored: DataFrame, prediction: str = "prediction") -> Data
         F.timestamp_micros(F.col("_latest") + F.col("_h") * F.lit(S.HOUR_US)).alias("forecast_timestamp"),
         value.alias("predicted_aqi"),
     )
+
+
+CELL_BITS = 50  # the narrowest cells are this many halvings below the whole range, so that cell numbers stay exact
+
+
+def band_join(df: DataFrame, value: str, bands: DataFrame, out: str = "band_index") -> DataFrame:
+    """`df` with the index that a table of bands (low, high, index_low, index_high) gives to `value`, interpolated linearly.
+
+    Both ends belong to a band. Where bands overlap, the one with the least `low` counts (ties: least `high`, then
+    indices). NULL where no band holds the value. Bands with a missing bound or `low > high` hold nothing; a band of one
+    point gives its `index_low`; infinite bounds are refused. Rows and columns of `df` stay as they are.
+
+    A band lies in the at most two cells, as wide as the next power of two, that it reaches into; a row looks up its own cell at every
+    width there is. So each width is an equi-join on unique cells, no row is copied, and a cell lists its own bands
+    only: few, unless many bands of like widths overlap.
+    """
+    ends = ("low", "high", "index_low", "index_high")
+    whole = bands.select(*[S.nan_as_null(F.col(c).cast("double")).alias(c) for c in ends]).dropna(subset=["low", "high"]).filter("low <= high").distinct()
+    low, span = whole.agg(F.min("low"), F.max("high") - F.min("low")).first()
+    if low is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    if not (math.isfinite(low) and math.isfinite(span)):
+        raise ValueError("bands must end at finite values")
+    least = math.ceil(math.log2(span)) - CELL_BITS if span else 0
+    width = F.col("high") - F.col("low")
+    level = F.greatest(F.when(width > 0, F.ceil(F.log2(width))).cast("int"), F.lit(least))
+    levels = materialize(whole.withColumn("level", level), "bands")
+    x = S.nan_as_null(F.col(f"`{value}`").cast("double"))
+
+    def cell(c, k):
+        return F.floor((c - F.lit(low)) / F.lit(2.0**k))
+
+    found = df
+    held = []
+    for i, (k,) in enumerate(levels.select("level").distinct().orderBy("level").collect()):  # CELL_BITS + 1 at most
+        own = levels.filter(F.col("level") == k)
+        spread = own.select(F.explode(F.sequence(cell(F.col("low"), k), cell(F.col("high"), k))).alias(f"_cell{i}"), F.struct(*ends).alias("band"))
+        listed = spread.groupBy(f"_cell{i}").agg(F.array_sort(F.collect_list("band")).alias(f"_bands{i}"))
+        inside = (x >= F.lit(low)) & (x <= F.lit(low + span))
+        found = found.join(listed, F.when(inside, cell(x, k)) == F.col(f"_cell{i}"), "left").drop(f"_cell{i}")
+        first = F.get(F.filter(f"_bands{i}", lambda b: (x >= b["low"]) & (x <= b["high"])), F.lit(0))
+        found = found.withColumn(f"_bands{i}", first)
+        held.append(F.col(f"_bands{i}"))
+    band = F.array_min(F.array_compact(F.array(*held)))
+    slope = F.try_divide(band["index_high"] - band["index_low"], band["high"] - band["low"])
+    index = F.when(band["low"] == band["high"], band["index_low"]).otherwise(slope * (x - band["low"]) + band["index_low"])
+    return found.withColumn(out, index).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
