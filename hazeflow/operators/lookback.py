@@ -10,12 +10,14 @@ windows. Time is cut into spans as long as the window: a window then covers the
 beginning of the next, so its sum is one sum up to the row plus one from the window's start on, and
 only readings inside the window enter it. The result does not depend on the buckets.
 
-Work per task is a city's readings in `width_hours` and the look-back before it; pass a smaller width for
-very dense series.
+Work per task is a city's readings in a bucket and the look-back before it. The width follows from the readings of the
+densest city and day, the number of tasks from all readings, so that neither bucket nor task grows with the table until
+a single day and its look-back have more than `BUCKET_ROWS`.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +27,9 @@ from hazeflow.operators.keyed import keep_last
 from hazeflow.schemas import KEYS
 
 WIDTH_HOURS = 7 * 24
+NARROWEST_HOURS = 21  # an eighth of a week; below it copies outnumber readings too much
+BUCKET_ROWS = 1 << 17  # readings and copies of a bucket, beyond which it gets narrower
+TASK_ROWS = 1 << 16  # readings and copies of an average task
 STRAY_BUCKET = -(1 << 40)  # below any time bucket
 MIN_POINTS = 3
 
@@ -87,8 +92,21 @@ def _base(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("_us", us).withColumn("_v", v)
 
 
+def _layout(base: DataFrame, reach: int, width_hours: float | None) -> tuple[int, int | None]:
+    """Width of a bucket in microseconds, and the number of tasks (None where few rows leave it to Spark)."""
+    days = base.groupBy("city", F.expr(f"_us div {24 * S.HOUR_US}").alias("_day")).agg(F.count(F.lit(1)).alias("n"))
+    dated = F.when(F.col("_day").isNotNull(), F.col("n"))
+    total, densest = days.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(dated), F.lit(0))).first()
+    hours = width_hours or WIDTH_HOURS
+    while width_hours is None and hours > NARROWEST_HOURS and densest / 24 * (hours + reach / S.HOUR_US) > BUCKET_ROWS:
+        hours /= 2
+    width = round(hours * S.HOUR_US)
+    copies = total * (1 + reach / width)
+    return width, math.ceil(copies / TASK_ROWS) if copies > 4 * TASK_ROWS else None
+
+
 def _spread(base: DataFrame, reach: int, width: int) -> DataFrame:
-    """Rows plus slim copies in the buckets whose first rows look back to them."""
+    """Rows, packed in `_row`, plus slim copies in the buckets whose first rows look back to them."""
     home = F.expr(f"_us div {width}")
     last = F.expr(f"(_us + {reach}) div {width}")
     # rows without a time have no past: spread them by content instead of by bucket
@@ -97,20 +115,27 @@ def _spread(base: DataFrame, reach: int, width: int) -> DataFrame:
     out = base.withColumn("_bucket", F.explode(buckets)).withColumn(
         "_home", F.col("_us").isNull() | (F.col("_bucket") == home)
     )
-    slim = {c: F.when(F.col("_home"), F.col(c)) for c in base.columns if c not in ("city", "_us", "_v")}
-    return out.withColumns(slim)
+    row = F.struct(*[F.col(c) for c in base.columns if c not in ("city", "_us", "_v")])
+    return out.select("city", "_us", "_v", "_bucket", "_home", F.when(F.col("_home"), row).alias("_row"))
 
 
-def _span_sums(rows: DataFrame, spec: RollingMean) -> DataFrame:
-    """Adds, per row, sum and count from the row's span's first reading on (`up`) and to its last one (`down`)."""
-    span = f"_span_{spec.name}"
-    rows = rows.withColumn(span, F.expr(f"_us div {spec.reach}"))
-    forth = Window.partitionBy("city", "_bucket", span).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy("city", "_bucket", span).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
-    for name, w in (("up", forth), ("down", back)):
-        both = F.struct(F.sum("_v").over(w).alias("sum"), F.count("_v").over(w).alias("n"))
-        rows = rows.withColumn(f"_{name}_{spec.name}", both)
-    return rows
+def _span_sums(rows: DataFrame, means: list[RollingMean]) -> DataFrame:
+    """Adds, per row and mean, sum and count from the row's span's first reading on (`up`) and to its last one (`down`).
+
+    Shorter spans that fill longer ones are ordered inside these, so that all share a sort in each direction.
+    """
+    spans = {s: F.expr(f"_us div {s.reach}") for s in means}
+    rows = rows.withColumns({f"_span_{s.name}": at for s, at in spans.items()} | {f"_back_{s.name}": -at for s, at in spans.items()})
+    by_reach = sorted(means, key=lambda s: -s.reach)
+    for name, part, time in (("up", "_span", F.col("_us")), ("down", "_back", F.desc("_us"))):
+        for s in by_reach:
+            longer = [f"{part}_{m.name}" for m in by_reach if m.reach > s.reach and m.reach % s.reach == 0]
+            shorter = [f"{part}_{m.name}" for m in by_reach if m.reach < s.reach and s.reach % m.reach == 0]
+            w = Window.partitionBy("city", "_bucket", *longer, f"{part}_{s.name}").orderBy(*shorter, time)
+            w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            both = F.struct(F.sum("_v").over(w).alias("sum"), F.count("_v").over(w).alias("n"))
+            rows = rows.withColumn(f"_{name}_{s.name}", both)
+    return rows.drop(*[f"_back_{s.name}" for s in means])
 
 
 def _windows(spread: DataFrame, specs: list) -> DataFrame:
@@ -119,8 +144,8 @@ def _windows(spread: DataFrame, specs: list) -> DataFrame:
     over = "over (partition by city, _bucket order by _us)"
     means = [s for s in specs if isinstance(s, RollingMean)]
     columns = {}
+    spread = _span_sums(spread, means)
     for s in means:
-        spread = _span_sums(spread, s)
         edge = F.struct(F.col(f"_span_{s.name}").alias("span"), F.col(f"_down_{s.name}").alias("down"))
         # what a window holds of the span before its row's: the end of that span from the window's first reading on
         spread = spread.withColumn(f"_edge_{s.name}", edge)
@@ -160,22 +185,25 @@ def look_back(
     specs: list,
     value: str = "aqi",
     unique: bool = False,
-    width_hours: float = WIDTH_HOURS,
+    width_hours: float | None = None,
 ) -> DataFrame:
     """Add one column per spec: a mean, or a struct (us, value) for the nearest reading.
 
     `unique=True` promises that (city, fetched_at) is a key; otherwise one row per key is kept,
-    the greatest by its other columns. The result does not depend on `width_hours`.
+    the greatest by its other columns. The result does not depend on `width_hours`; without it the density decides, which
+    reads keys and times once.
     """
-    reach, width = max(s.reach for s in specs), round(width_hours * S.HOUR_US)
+    reach = max(s.reach for s in specs)
+    width, tasks = _layout(_base(df, value).select("city", "_us"), reach, width_hours)
     names = [s.name for s in specs]
     if not unique:
         # rows without a time are no copies of each other: keep them apart by content
         stray = F.when(F.col("fetched_at").isNull(), F.xxhash64(*df.columns))
         df = keep_last(df.withColumn("_stray", stray), [*KEYS, "_stray"]).drop("_stray")
     # laid out once; the windows over parts of a bucket need no other layout
-    spread = _spread(_base(df, value), reach, width).repartition("city", "_bucket")
-    return _windows(spread, specs).select(*df.columns, *names)
+    spread = _spread(_base(df, value), reach, width).repartition(*([tasks] if tasks else []), "city", "_bucket")
+    row = [F.col("city") if c == "city" else F.col("_row")[c].alias(c) for c in df.columns]
+    return _windows(spread, specs).select(*row, *names)
 
 
 def rolling_mean(df: DataFrame, spec: RollingMean = ROLLING_6H, **options) -> DataFrame:

@@ -53,7 +53,7 @@ def add_readings(snapshots: DataFrame, table: KeyedTable, recompute_late: bool =
     else:
         history = history.withColumn("_due", F.lit(None).cast("boolean"))
     rows = append(history, batch.withColumn("_due", F.lit(True)))
-    rows = keep_last(rows, KEYS, ["_seq"]).drop("_seq")
+    rows = materialize(keep_last(rows, KEYS, ["_seq"]).drop("_seq"), "rows")  # the look-back reads them twice
     fresh = build_features(rows, keep=["_due"], unique=True).filter("_due").drop("_due")
     table.upsert(fresh)
 

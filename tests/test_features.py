@@ -155,3 +155,18 @@ def test_text_times_keep_their_clock(spark):
     row = build_features(df).filter("aqi = 10").first()
     assert (row.hour, row.day_of_week, row.aqi_change_rate_1h) == (23, 4, 1.0)
     assert build_features(df).count() == 3
+
+
+def test_dense_series_get_narrower_buckets_and_more_tasks(scattered, monkeypatch):
+    """The rows of a task follow from the layout's bounds, not from the table; the results stay."""
+    rows = random_rows(11, 900)
+    expected = by_micros(brute_force(rows))
+    monkeypatch.setattr(L, "BUCKET_ROWS", 300)
+    monkeypatch.setattr(L, "TASK_ROWS", 100)
+    df = frame(scattered, rows)
+    width, tasks = L._layout(L._base(df, "aqi"), L.PAST_24H.reach, None)
+    assert width == 21 * 3_600_000_000 and 15 <= tasks <= 30
+    built = build_features(df, unique=True)
+    assert built.rdd.getNumPartitions() == tasks and collected(built) == expected
+    assert L._layout(L._base(df.limit(20), "aqi"), L.PAST_24H.reach, None) == (7 * 24 * 3_600_000_000, None)
+    assert L._layout(L._base(df.limit(0), "aqi"), L.PAST_24H.reach, None)[1] is None
