@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from hazeflow.catalog.readings import (
     asof_sql,
@@ -119,6 +119,7 @@ def w1_outlier_series(spark, sf_dir):
     """Means beside readings of 1e17, of the windows that hold none of them: as if those were not there."""
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("_outlier_events")
     series = spark.sql(_OUTLIERS.replace("FROM events", "FROM _outlier_events") + "SELECT * FROM series")
-    found = L.rolling_mean(series.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), unique=True)
-    last = Window.partitionBy("city").orderBy(F.unix_micros("fetched_at")).rangeBetween(-6 * 3_600_000_000, 0)
-    return found.withColumn("_top", F.max("aqi").over(last)).filter("_top < 1e17").select("city", "fetched_at", "aqi_rolling_mean_6h")
+    series = series.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    found = L.look_back(series, [L.ROLLING_6H, L.RollingMax(6, "_top")], unique=True)
+    top = F.when(F.col("fetched_at").isNull(), F.col("aqi")).otherwise(F.col("_top"))  # a row without a time is its own window
+    return found.filter(top < 1e17).select("city", "fetched_at", "aqi_rolling_mean_6h")

@@ -46,6 +46,11 @@ class RollingMean:
         return _us(self.hours)
 
 
+@dataclass(frozen=True)
+class RollingMax(RollingMean):
+    """Greatest reading in [t - hours, t], however many there are."""
+
+
 @dataclass(frozen=True)
 class Nearest:
     """Reading nearest to t - hours, at most `tolerance` hours off; the older one on a tie."""
@@ -120,7 +125,7 @@ def _spread(base: DataFrame, reach: int, width: int) -> DataFrame:
 
 
 def _span_sums(rows: DataFrame, means: list[RollingMean]) -> DataFrame:
-    """Adds, per row and mean, sum and count from the row's span's first reading on (`up`) and to its last one (`down`).
+    """Adds, per row and mean, sum and count (or maximum) from the row's span's first reading on (`up`) and to its last one (`down`).
 
     Shorter spans that fill longer ones are ordered inside these, so that all share a sort in each direction.
     """
@@ -133,8 +138,11 @@ def _span_sums(rows: DataFrame, means: list[RollingMean]) -> DataFrame:
             shorter = [f"{part}_{m.name}" for m in by_reach if m.reach < s.reach and s.reach % m.reach == 0]
             w = Window.partitionBy("city", "_bucket", *longer, f"{part}_{s.name}").orderBy(*shorter, time)
             w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-            both = F.struct(F.sum("_v").over(w).alias("sum"), F.count("_v").over(w).alias("n"))
-            rows = rows.withColumn(f"_{name}_{s.name}", both)
+            if isinstance(s, RollingMax):
+                found = [F.max("_v").over(w).alias("max")]
+            else:
+                found = [F.sum("_v").over(w).alias("sum"), F.count("_v").over(w).alias("n")]
+            rows = rows.withColumn(f"_{name}_{s.name}", F.struct(*found))
     return rows.drop(*[f"_back_{s.name}" for s in means])
 
 
@@ -175,6 +183,9 @@ def _windows(spread: DataFrame, specs: list) -> DataFrame:
             entry = F.when(F.col(f"_older_{s.name}") > 0, F.col(f"_from_{s.name}")).otherwise(F.col(f"_first_{s.name}"))
             before = F.when(entry["span"] < F.col(f"_span_{s.name}"), entry["down"])
             up, zero = F.col(f"_up_{s.name}"), F.lit(0)
+            if isinstance(s, RollingMax):
+                finished[s.name] = F.greatest(before["max"], up["max"])
+                continue
             total = F.coalesce(before["sum"], F.lit(0.0)) + up["sum"]
             finished[s.name] = _finish_mean(total, F.coalesce(before["n"], zero) + up["n"], v)
     return framed.withColumns(finished)
@@ -187,7 +198,7 @@ def look_back(
     unique: bool = False,
     width_hours: float | None = None,
 ) -> DataFrame:
-    """Add one column per spec: a mean, or a struct (us, value) for the nearest reading.
+    """Add one column per spec: a mean, a maximum, or a struct (us, value) for the nearest reading.
 
     `unique=True` promises that (city, fetched_at) is a key; otherwise one row per key is kept,
     the greatest by its other columns. The result does not depend on `width_hours`; without it the density decides, which

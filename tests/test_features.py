@@ -170,3 +170,15 @@ def test_dense_series_get_narrower_buckets_and_more_tasks(scattered, monkeypatch
     assert built.rdd.getNumPartitions() == tasks and collected(built) == expected
     assert L._layout(L._base(df.limit(20), "aqi"), L.PAST_24H.reach, None) == (7 * 24 * 3_600_000_000, None)
     assert L._layout(L._base(df.limit(0), "aqi"), L.PAST_24H.reach, None)[1] is None
+
+
+def test_greatest_reading_of_a_window(scattered):
+    rows = random_rows(5)
+    df = frame(scattered, rows)
+    for width in (5, 168):
+        found = L.look_back(df, [L.RollingMax(6, "top"), L.ROLLING_24H], width_hours=width, unique=True).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            times = [(h.timestamp(), v) for h, c, v in rows if c == r.city and v is not None]
+            t = r.fetched_at.timestamp()
+            assert r.top == max((v for h, v in times if t - 6 * 3600 <= h <= t), default=None)
