@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest_llm import SF, lower, needs_tables, words
 
@@ -93,3 +94,34 @@ def test_sample_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert got == dict(zip((i for i, _ in rows), plain_groups(rows)))
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """Differing bits never exceed the shingles in one set only, at equal and at folded sizes."""
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 65, 500, 3000):
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone, new in ((0, 0), (n // 10, 0), (0, n // 10), (n // 9, n // 9), (n, n)):
+            b = np.union1d(a[gone:], draw.integers(0, 1 << 63, max(new, gone == n)).astype(np.uint64))
+            x, y = (np.frombuffer(near_copies._sketch(s), np.uint64) for s in (a, b))
+            while len(x) != len(y):
+                x, y = (near_copies._folded(s) if len(s) == max(len(x), len(y)) else s for s in (x, y))
+            differing = int(np.bitwise_count(x ^ y).sum())
+            assert differing <= len(np.setxor1d(a, b))
+            similar = 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+            assert not (similar and near_copies._apart(len(a), len(b), differing))
+            assert gone < n or n < 500 or near_copies._apart(len(a), len(b), differing)
+
+
+def test_sets_travel_only_for_plausible_pairs(docs_of, monkeypatch):
+    """Texts that share a line but are not similar meet, in small buckets and large ones, and need no whole sets."""
+    wanted, sets_of = [], near_copies._sets_of
+    monkeypatch.setattr(near_copies, "_sets_of", lambda keys, texts: wanted.append(keys.distinct().count()) or sets_of(keys, texts))
+    for small in (64, 2):
+        monkeypatch.setattr(near_copies, "SMALL", small)
+        draw = random.Random(8)
+        line = " ".join(f"l{i}" for i in range(40))
+        rows = [(i, f"{line} " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+        got = near_copies.near_copies(docs_of(rows)).collect()
+        assert sorted(r.component_id for r in got) == list(range(40))
+    assert sum(wanted) == 0
