@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest_llm import SF, lower, needs_tables, words
 
-from hazeflow.llm import near_copies, queries
+from hazeflow.llm import near_copies, queries, simhash
 
 
 def plain_set(text):
@@ -125,3 +125,22 @@ def test_sets_travel_only_for_plausible_pairs(docs_of, monkeypatch):
         got = near_copies.near_copies(docs_of(rows)).collect()
         assert sorted(r.component_id for r in got) == list(range(40))
     assert sum(wanted) == 0
+
+
+def test_links_of_the_fingerprints_are_kept(spark, docs_of):
+    """Texts within two bits of the operator's fingerprint are one group, also where their sets are less similar than 0.8."""
+    draw = random.Random(3)
+    rows, groups = [], 0
+    while groups < 3:  # texts that repeat a passage, with a few words changed between the repeats
+        passage = [f"w{draw.randrange(10**6)}" for _ in range(12)]
+        pair = [" ".join(w for k in range(30) for w in [*passage, *(f"x{draw.randrange(10**6)}" for _ in range(k % 3 == 0))]) for _ in range(2)]
+        a, b = (plain_set(t) for t in pair)
+        if (simhash.fingerprint(pair[0].encode()) ^ simhash.fingerprint(pair[1].encode())).bit_count() <= 2 and 5 * len(a & b) < 4 * len(a | b):
+            rows += [(10 * groups + k, t) for k, t in enumerate(pair)]
+            groups += 1
+    rows.append((99, "quite another text of a few words"))
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(rows)).collect()}
+    assert linked == {0: 0, 1: 0, 10: 10, 11: 10, 20: 20, 21: 20, 99: 99}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs_of(rows)).collect()} == linked
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs_of(rows), None).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 10, 20, 99]
